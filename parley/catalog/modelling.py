@@ -15,7 +15,8 @@ from parley.operators.metrics import class_ratio
 from parley.operators.scoring import batch_score, feature_rows, score_rows, train_head
 from parley.plans import modelling as plan
 from parley.session import work_path
-from parley.sources.sinks import land_corpus
+from parley.sources.readers import read_split
+from parley.sources.sinks import land_corpus, write_splits
 from parley.streaming.append import append_scored, stream_files
 
 SHORT = 150
@@ -80,9 +81,9 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def balanced_subset(spark: SparkSession, sf: str) -> DataFrame:
-    comments = V.labelled(spark, sf)
-    split = plan.splits(comments, "should_intervene")
-    subset = plan.test_subset(split, V.comments(spark, sf), n=SUBSET)
+    path = work_path(spark, "splits")
+    write_splits(plan.splits(V.labelled(spark, sf), "should_intervene"), path)
+    subset = plan.test_subset(read_split(spark, path, "test"), V.comments(spark, sf), n=SUBSET)
     return subset.select("message_id", "dataset", "origin", "discussion")
 
 

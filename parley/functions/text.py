@@ -99,21 +99,5 @@ def shorten(text: Column, width: int = 28) -> Column:
 
 def content_words(clean: Column, stop_words: Sequence[str]) -> Column:
     """Words of two letters or more that are not on the stop list."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    words = F.filter(F.split(clean, " "), lambda w: F.char_length(w) >= 2)
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
-
-
-def ngrams(words: Column, sizes: Sequence[int] = (2, 3)) -> Column:
-    """All runs of the given sizes, blank joined, repeats kept."""
-    parts = []
-    for size in sizes:
-        runs = F.transform(
-            words,
-            lambda w, i, size=size: F.concat_ws(
-                " ", w, *[F.get(words, i + F.lit(k)) for k in range(1, size)]
-            ),
-        )
-        n_runs = F.greatest(F.size(words) - (size - 1), F.lit(0))
-        parts.append(F.slice(runs, F.lit(1), n_runs))
-    return F.concat(*parts)
+    stop = sorted(set(stop_words))
+    return F.filter(F.split(clean, " "), lambda w: (F.char_length(w) >= 2) & ~w.isin(stop))

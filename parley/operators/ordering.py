@@ -158,16 +158,20 @@ def exact_percentile(df: DataFrame, value: str, p: float, accuracy: int = 10000)
             F.count(F.lit(1)).alias("n"),
         ).alias("b")
     ).select("b").scalar()
-    marked = rows.withColumn("b", bracket).where("v <= b.high")
-    below = F.col("v") < F.col("b.low")
-    # Values under the bracket share one row, so their count is the offset.
-    counts = marked.groupBy(
-        F.when(below, F.lit(None).cast("double")).otherwise(F.col("v")).alias("v"),
-        F.col("b.n").alias("n"),
-    ).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy(F.asc_nulls_first("v")))
-    target = F.lit(p) * (F.col("n") - 1)
-    ranked = counts.withColumn("upto", upto).withColumn("t", target)
+    place = F.when(F.col("v") < F.col("b.low"), -1).when(F.col("v") > F.col("b.high"), 1).otherwise(0)
+    # Values on either side of the bracket share one row: their count, and the
+    # value next to the bracket for ranks that fall just outside it.
+    counts = (
+        rows.withColumn("b", bracket)
+        .withColumn("side", place)
+        .groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("inner"), F.col("b.n").alias("n"))
+        .agg(
+            F.count(F.lit(1)).alias("c"),
+            F.when(F.col("side") < 0, F.max("v")).otherwise(F.min("v")).alias("v"),
+        )
+    )
+    upto = F.sum("c").over(Window.orderBy("side", "inner"))
+    ranked = counts.withColumn("upto", upto).withColumn("t", F.lit(p) * (F.col("n") - 1))
     at_floor = F.min(F.when(F.col("upto") > F.floor("t"), F.col("v")))
     at_ceil = F.min(F.when(F.col("upto") > F.ceil("t"), F.col("v")))
     return (

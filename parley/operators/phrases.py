@@ -14,7 +14,6 @@ from parley.functions.text import (
     WEB_STOP_WORDS,
     clean_text,
     content_words,
-    ngrams,
 )
 from parley.operators.ordering import first_k
 
@@ -35,26 +34,66 @@ def document_phrases(
     A phrase is counted inside its row, from the run lengths of the sorted
     phrases, so repeats are never shuffled.
     """
+    # Every step is its own projection of whole arrays, and no lambda looks
+    # outside its element: each text is cleaned, joined and sorted once.
+    longest = max(sizes)
     words = content_words(clean_text(F.col(text), glued), stop_words)
-    ordered = (
-        texts.select(doc, dataset, words.alias("_words"))
-        .withColumn("_all", F.array_sort(ngrams(F.col("_words"), sizes)))
-        .where(F.size("_all") > 0)
+    shifted = texts.select(doc, dataset, words.alias("_w0"))
+    for k in range(1, longest):
+        rest = F.slice("_w0", F.lit(k + 1), F.size("_w0"))
+        shifted = shifted.withColumn(f"_w{k}", rest)
+    runs = shifted.select(
+        doc, dataset, F.arrays_zip(*[F.col(f"_w{k}") for k in range(longest)]).alias("_runs")
     )
-    is_start = lambda i: (i == 0) | (F.get("_all", i) != F.get("_all", i - 1))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), is_start)
-    counted = ordered.withColumn("_starts", starts).withColumn(
-        "_counts",
+    joined = [
         F.transform(
-            "_starts",
-            lambda s, j: F.struct(
-                F.get("_all", s).alias("phrase"),
-                (F.coalesce(F.get("_starts", j + 1), F.size("_all")) - s)
-                .cast("long").alias("tf"),
-            ),
+            F.filter("_runs", _has_word(size - 1)),
+            _joined(size),
+        )
+        for size in sizes
+    ]
+    ordered = runs.select(doc, dataset, F.sort_array(F.concat(*joined)).alias("_all"))
+    # A phrase starts where it differs from the one before it; its count is
+    # the distance to the next start.
+    numbered = ordered.select(
+        doc,
+        dataset,
+        F.size("_all").alias("_size"),
+        F.arrays_zip(
+            F.col("_all").alias("phrase"),
+            F.array_prepend("_all", F.lit(None)).alias("before"),
+            F.sequence(F.lit(0), F.size("_all")).alias("at"),
+        ).alias("_numbered"),
+    )
+    starts = numbered.select(
+        doc,
+        dataset,
+        "_size",
+        F.filter(
+            "_numbered",
+            lambda p: p["phrase"].isNotNull() & ~p["phrase"].eqNullSafe(p["before"]),
+        ).alias("_starts"),
+    )
+    following = starts.withColumn("_next", F.slice("_starts", F.lit(2), F.size("_starts")))
+    counted = F.transform(
+        F.arrays_zip("_starts", "_next"),
+        lambda p: F.struct(
+            p["_starts"]["phrase"].alias("phrase"),
+            p["_starts"]["at"].alias("at"),
+            p["_next"]["at"].alias("next"),
         ),
     )
-    return counted.select(doc, dataset, F.inline("_counts"))
+    return following.select(doc, dataset, "_size", F.inline(counted)).select(
+        doc, dataset, "phrase", (F.coalesce("next", "_size") - F.col("at")).cast("long").alias("tf")
+    )
+
+
+def _has_word(k: int):
+    return lambda run: run[f"_w{k}"].isNotNull()
+
+
+def _joined(size: int):
+    return lambda run: F.concat_ws(" ", *[run[f"_w{k}"] for k in range(size)])
 
 
 def frequent_phrases(

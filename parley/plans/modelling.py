@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from parley.operators.corpus import normalise, supported_only
 from parley.operators.sampling import balanced_subset, require_target, stratified_split
@@ -15,8 +14,10 @@ def splits(comments: DataFrame, target: str, seed: int = 42) -> DataFrame:
 
 
 def test_subset(
-    split: DataFrame, lookup: DataFrame, n: int = 2000, seed: int = 42, max_chars: int = 3000
+    test: DataFrame, lookup: DataFrame, n: int = 2000, seed: int = 42, max_chars: int = 3000
 ) -> DataFrame:
-    """The balanced test sample of sources with moderation labels."""
-    test = supported_only(split.where(F.col("split") == "test"))
-    return balanced_subset(test, lookup, n=n, seed=seed, max_chars=max_chars)
+    """The balanced test sample of sources with moderation labels.
+
+    ``test`` is read a few times, so pass the landed test split.
+    """
+    return balanced_subset(supported_only(test), lookup, n=n, seed=seed, max_chars=max_chars)

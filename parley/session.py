@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture for every column expression makes building plans slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -58,3 +60,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """One partition per core for a plain scan that has fewer splits than cores.
+
+    A small file in a single row group would keep all other cores idle. Large
+    scans have more splits than cores and are left alone. For scans only:
+    counting the partitions of a plan with a shuffle would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

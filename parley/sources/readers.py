@@ -149,7 +149,7 @@ def alias_raters(ratings: DataFrame, names: Sequence[str]) -> DataFrame:
 DUAL_NAME = _named(r"(?:llm_intervention_)?([^/=]+_dual_interventions\.md)\.csv")
 SINGLE_NAME = _named(r"(?i:(?:llm_intervention_)?([^/=]+?)_single_intervention\.md\.csv)")
 PREDICTION_NAME = _named(r"(llm_intervention_[^/]*_timing_(?:prediction|detection))\.csv")
-CURVE_NAME = r"/(?:[^/=]+=)?([^/]+)/pr_curves\.csv(?:/[^/]+)?$"
+CURVE_NAME = r"/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?pr_curves\.csv(?:/[^/]+)?$"
 
 
 def read_dual_responses(spark: SparkSession, root: str, lenient: bool = False) -> DataFrame:
