@@ -13,6 +13,7 @@ from parley.operators import statistics as S
 from parley.operators.ordering import exact_percentile
 from parley.operators.tables import experiment_matrix, id_union, in_category_order, in_order
 from parley.plans import exploration
+from parley.session import spread
 from parley.schemas import FACILITATIVE_TACTICS, TACTIC_POLARITY
 
 NAMES = {"ds0": "CeRI", "ds1": "WikiDisputes", "ds2": "Fora", "ds3": "UMOD"}
@@ -66,7 +67,7 @@ def words_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_words_hist(spark: SparkSession, sf: str) -> DataFrame:
-    rows = exploration.word_histogram(V.documents_as_comments(spark, sf))
+    rows = exploration.word_histogram(spread(V.documents_as_comments(spark, sf), "doc_id"))
     return rounded(rows, "bin_low", "bin_high", "density")
 
 

@@ -68,10 +68,15 @@ def redact_prompt(
     return out
 
 
+def single_blanks(text: Column) -> Column:
+    """Every blank character as a plain blank, in one pass without a pattern."""
+    return F.translate(text, BLANKS, " " * len(BLANKS))
+
+
 def word_count(text: Column, cap: int = 500, null_text: str | None = "nan") -> Column:
     """Blank separated words, clipped at cap."""
-    words = F.regexp_count(null_as_word(text, null_text), F.lit(f"[^{BLANK_CLASS}]+"))
-    return F.least(words, F.lit(cap)).cast("long")
+    words = F.array_remove(F.split(single_blanks(null_as_word(text, null_text)), " "), "")
+    return F.least(F.size(words), F.lit(cap)).cast("long")
 
 
 def clean_text(text: Column, glued: Sequence[tuple[str, str]] = ()) -> Column:
@@ -79,12 +84,12 @@ def clean_text(text: Column, glued: Sequence[tuple[str, str]] = ()) -> Column:
 
     ``glued`` lists (joined, separated) word pairs to repair first.
     """
-    out = F.lower(F.coalesce(text, F.lit("")))
+    out = single_blanks(F.lower(F.coalesce(text, F.lit(""))))
     for joined, separated in glued:
         out = F.replace(out, F.lit(joined), F.lit(separated))
-    out = F.regexp_replace(out, f"(?:http|www)[^{BLANK_CLASS}]+", "")
-    out = F.regexp_replace(out, f"[^a-z{BLANK_CLASS}]", "")
-    return F.trim(F.regexp_replace(out, f"[{BLANK_CLASS}]+", " "))
+    out = F.regexp_replace(out, "(?:http|www)[^ ]+", "")
+    out = F.regexp_replace(out, "[^a-z ]+", "")
+    return F.trim(F.regexp_replace(out, " {2,}", " "))
 
 
 # The one glued word repaired before weighting phrases.

@@ -20,7 +20,7 @@ from parley.operators.ordering import first_k
 STOP_WORDS = ENGLISH_STOP_WORDS + WEB_STOP_WORDS
 
 
-def document_phrases(
+def phrase_rows(
     texts: DataFrame,
     doc: str,
     dataset: str = "dataset",
@@ -29,71 +29,35 @@ def document_phrases(
     sizes: Sequence[int] = (2, 3),
     glued: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
-    """(doc, dataset, phrase, tf): every distinct phrase of every text.
+    """(doc, dataset, phrase, is_first): every phrase of every text, with repeats.
 
-    A phrase is counted inside its row, from the run lengths of the sorted
-    phrases, so repeats are never shuffled.
+    ``is_first`` marks one occurrence per text, so texts can be counted without
+    grouping by text. Each step is its own projection of whole arrays and no
+    lambda looks outside its elements: a text is cleaned and sorted once.
     """
-    # Every step is its own projection of whole arrays, and no lambda looks
-    # outside its element: each text is cleaned, joined and sorted once.
-    longest = max(sizes)
     words = content_words(clean_text(F.col(text), glued), stop_words)
-    shifted = texts.select(doc, dataset, words.alias("_w0"))
-    for k in range(1, longest):
-        rest = F.slice("_w0", F.lit(k + 1), F.size("_w0"))
-        shifted = shifted.withColumn(f"_w{k}", rest)
-    runs = shifted.select(
-        doc, dataset, F.arrays_zip(*[F.col(f"_w{k}") for k in range(longest)]).alias("_runs")
-    )
-    joined = [
-        F.transform(
-            F.filter("_runs", _has_word(size - 1)),
-            _joined(size),
+    runs = texts.select(doc, dataset, words.alias("_p1"))
+    for size in range(2, max(sizes) + 1):
+        n = F.greatest(F.size("_p1") - (size - 1), F.lit(0))
+        longer = F.zip_with(
+            F.slice(f"_p{size - 1}", F.lit(1), n),
+            F.slice("_p1", F.lit(size), n),
+            lambda run, word: F.concat(run, F.lit(" "), word),
         )
-        for size in sizes
-    ]
-    ordered = runs.select(doc, dataset, F.sort_array(F.concat(*joined)).alias("_all"))
-    # A phrase starts where it differs from the one before it; its count is
-    # the distance to the next start.
-    numbered = ordered.select(
-        doc,
-        dataset,
-        F.size("_all").alias("_size"),
-        F.arrays_zip(
-            F.col("_all").alias("phrase"),
-            F.array_prepend("_all", F.lit(None)).alias("before"),
-            F.sequence(F.lit(0), F.size("_all")).alias("at"),
-        ).alias("_numbered"),
-    )
-    starts = numbered.select(
-        doc,
-        dataset,
-        "_size",
-        F.filter(
-            "_numbered",
-            lambda p: p["phrase"].isNotNull() & ~p["phrase"].eqNullSafe(p["before"]),
-        ).alias("_starts"),
-    )
-    following = starts.withColumn("_next", F.slice("_starts", F.lit(2), F.size("_starts")))
-    counted = F.transform(
-        F.arrays_zip("_starts", "_next"),
-        lambda p: F.struct(
-            p["_starts"]["phrase"].alias("phrase"),
-            p["_starts"]["at"].alias("at"),
-            p["_next"]["at"].alias("next"),
-        ),
-    )
-    return following.select(doc, dataset, "_size", F.inline(counted)).select(
-        doc, dataset, "phrase", (F.coalesce("next", "_size") - F.col("at")).cast("long").alias("tf")
+        runs = runs.withColumn(f"_p{size}", longer)
+    ordered = runs.select(
+        doc, dataset, F.sort_array(F.concat(*[F.col(f"_p{size}") for size in sizes])).alias("phrase")
     )
+    before = F.slice(F.array_prepend("phrase", F.lit(None)), F.lit(1), F.size("phrase"))
+    return ordered.select(doc, dataset, "phrase", before.alias("before")).select(
+        doc, dataset, F.inline(F.arrays_zip("phrase", "before"))
+    ).select(doc, dataset, "phrase", (~F.col("phrase").eqNullSafe(F.col("before"))).alias("is_first"))
 
 
-def _has_word(k: int):
-    return lambda run: run[f"_w{k}"].isNotNull()
-
-
-def _joined(size: int):
-    return lambda run: F.concat_ws(" ", *[run[f"_w{k}"] for k in range(size)])
+def document_phrases(texts: DataFrame, doc: str, dataset: str = "dataset", **options) -> DataFrame:
+    """(doc, dataset, phrase, tf): every distinct phrase of every text."""
+    rows = phrase_rows(texts, doc, dataset, **options)
+    return rows.groupBy(doc, dataset, "phrase").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def frequent_phrases(
@@ -101,9 +65,9 @@ def frequent_phrases(
 ) -> DataFrame:
     """Most frequent phrases per dataset among those in ``min_df`` texts; ties by phrase."""
     counts = (
-        document_phrases(texts, doc, dataset, **options)
+        phrase_rows(texts, doc, dataset, **options)
         .groupBy(dataset, "phrase")
-        .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("_df"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_first").alias("_df"))
         .where(F.col("_df") >= min_df)
         .drop("_df")
     )
@@ -121,18 +85,24 @@ def tfidf(
 ) -> DataFrame:
     """(doc, dataset, phrase, tfidf): smooth idf, every text scaled to length one.
 
-    Exact: no hashing of phrases. The join with the document frequencies moves
-    (doc, phrase, tf) once; the norm is a window over one text's phrases, so a
-    group is as large as one text.
+    Exact: no hashing of phrases. Occurrences meet their document frequency in
+    one shuffle by phrase and their text in one by text; counting repeats and
+    the norm both happen there, in groups no larger than one text.
     """
-    terms = document_phrases(texts, doc, dataset, glued=glued, **options)
+    rows = phrase_rows(texts, doc, dataset, glued=glued, **options)
     frequency = (
-        terms.groupBy("phrase").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df)
+        rows.groupBy("phrase").agg(F.count_if("is_first").alias("_df")).where(F.col("_df") >= min_df)
     )
     n_texts = texts.agg(F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1.0) + n_texts) / (F.lit(1.0) + F.col("_df"))) + 1.0
-    weighted = terms.join(frequency.select("phrase", idf.alias("_idf")), "phrase").withColumn(
-        "_w", F.col("tf") * F.col("_idf")
+    known = rows.select(doc, dataset, "phrase").join(
+        frequency.select("phrase", idf.alias("_idf")), "phrase"
+    )
+    weighted = (
+        known.repartition(doc)
+        .groupBy(doc, dataset, "phrase", "_idf")
+        .agg(F.count(F.lit(1)).alias("_tf"))
+        .withColumn("_w", F.col("_tf") * F.col("_idf"))
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return weighted.select(doc, dataset, "phrase", (F.col("_w") / norm).alias("tfidf"))
