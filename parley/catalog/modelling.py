@@ -16,7 +16,7 @@ from parley.operators.scoring import batch_score, feature_rows, score_rows, trai
 from parley.plans import modelling as plan
 from parley.session import work_path
 from parley.sources.readers import read_split
-from parley.sources.sinks import land_corpus, write_splits
+from parley.sources.sinks import land_corpus, write_parquet, write_splits
 from parley.streaming.append import append_scored, stream_files
 
 SHORT = 150
@@ -93,16 +93,22 @@ def sample_remainder(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.remainder(comments, taken).select("message_id", "dataset")
 
 
-def batches(spark: SparkSession, sf: str) -> DataFrame:
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and context lengths, written once: the batches read them a few times."""
     comments = V.comments(spark, sf)
-    sized = with_context_length(comments, comments).select("message_id", "est_length")
-    return length_batches(sized).select("message_id", "est_length", "batch_id", "batch_order")
+    path = work_path(spark, "lengths")
+    write_parquet(with_context_length(comments, comments).select("message_id", "est_length"), path)
+    return spark.read.parquet(path)
+
+
+def batches(spark: SparkSession, sf: str) -> DataFrame:
+    return length_batches(_sized(spark, sf)).select(
+        "message_id", "est_length", "batch_id", "batch_order"
+    )
 
 
 def full_batches(spark: SparkSession, sf: str) -> DataFrame:
-    comments = V.comments(spark, sf)
-    sized = with_context_length(comments, comments).select("message_id", "est_length")
-    return length_batches(sized, batch_size=10, drop_last=True, epoch=3).select(
+    return length_batches(_sized(spark, sf), batch_size=10, drop_last=True, epoch=3).select(
         "message_id", "est_length", "batch_id", "batch_order"
     )
 

@@ -22,20 +22,21 @@ def length_batches(
 
     The order inside a length is free, so it is the hash order; that lets one
     very common length be ranked in many tasks. A new epoch changes only the
-    order of the batches.
+    order of the batches. Batch ids are consecutive, so their shuffled order
+    needs the number of rows and not the rows. ``df`` is read a few times:
+    pass ids and lengths from a written table.
     """
+    n_rows = df.count()
+    n_batches = n_rows // batch_size if drop_last else -(-n_rows // batch_size)
     digest = hash_order(seed, F.col(id_col))
     ranked = global_rank(df.withColumn("_digest", digest), "_digest", id_col, "_rank", major=length)
     batched = ranked.withColumn(
         "batch_id", F.floor((F.col("_rank") - 1) / F.lit(batch_size)).cast("long")
     ).drop("_digest", "_rank")
-    batches = batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_size"))
-    if drop_last:
-        batches = batches.where(F.col("_size") == batch_size)
-    shuffled = batches.withColumn(
-        "_digest", hash_order(seed, F.lit(str(epoch)), F.col("batch_id"))
+    shuffled = (
+        df.sparkSession.range(n_batches)
+        .withColumnRenamed("id", "batch_id")
+        .withColumn("_digest", hash_order(seed, F.lit(str(epoch)), F.col("batch_id")))
     )
-    order = global_rank(shuffled, "_digest", "batch_id", "batch_order").select(
-        "batch_id", "batch_order"
-    )
-    return batched.join(order, "batch_id")
+    order = global_rank(shuffled, "_digest", "batch_id", "batch_order")
+    return batched.join(order.select("batch_id", "batch_order"), "batch_id")

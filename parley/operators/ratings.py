@@ -112,25 +112,32 @@ def align_to_panel(
     names columns that depend on the item alone. With ``humans`` given, items
     without a human rating are dropped.
     """
+    # Numbers only, so the aggregation keeps fixed-width buffers and hashes.
+    cells = {s: F.col(s).cast("long") for s in SCALES}
+    cells["_flag"] = malformed_flag(F.col("data_malformation"))
     seats = [
-        F.min_by(
-            F.struct(*[F.col(s).cast("long").alias(s) for s in SCALES], "data_malformation"),
-            F.when(F.col(RATER) == rater, F.col(order)),
-        ).alias(f"_r{i}")
+        _first_of(rater, cell, order).alias(f"_{i}_{name}")
         for i, rater in enumerate(panel)
+        for name, cell in cells.items()
     ]
-    kept = [F.any_value(c, True).alias(c) for c in keep]
-    rated = F.bool_or(F.col(RATER).isin(*humans) & _any_scale()).alias("_rated") if humans else F.lit(True).alias("_rated")
+    rated = F.bool_or(F.col(RATER).isin(*humans) & _any_scale()).alias("_rated")
+    items = ratings.groupBy(ITEM, *keep).agg(*seats, *([rated] if humans else []))
+    if humans:
+        items = items.where("_rated")
     rows = F.array(
-        *[F.struct(F.lit(r).alias(RATER), F.col(f"_r{i}").alias("_cell")) for i, r in enumerate(panel)]
+        *[
+            F.struct(
+                F.lit(rater).alias(RATER), *[F.col(f"_{i}_{name}").alias(name) for name in cells]
+            )
+            for i, rater in enumerate(panel)
+        ]
     )
-    items = ratings.groupBy(ITEM).agg(*seats, *kept, rated).where("_rated")
     return items.select(ITEM, *keep, F.inline(rows)).select(
         ITEM,
         *keep,
         RATER,
-        *[F.col(f"_cell.{s}").alias(s) for s in SCALES],
-        F.coalesce(F.col("_cell.data_malformation"), F.lit("no")).alias("data_malformation"),
+        *SCALES,
+        F.when(F.col("_flag") == 1, "yes").otherwise("no").alias("data_malformation"),
     )
 
 
