@@ -27,7 +27,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     chosen = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     names = list(QUERIES) if chosen == ["all"] else chosen
-    spark = local_session(cpus, "parley-bench", **{"spark.ui.showConsoleProgress": "false"})
+    spark = local_session(cpus, "parley-bench", "16g", **{"spark.ui.showConsoleProgress": "false"})
     # One warm-up, so the first query does not pay for starting the engine.
     QUERIES["sample_counts"](spark, sf_dir).collect()
     seconds = {}

@@ -20,10 +20,14 @@ def hash_order(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[i.cast("string") for i in ids]))
 
 
+def hash_word(digest: Column, word: int = 0) -> Column:
+    """One of the four 32 bit words of a digest, as eight hexadecimal digits."""
+    return F.substring(digest, 1 + 8 * word, 8)
+
+
 def hash_uniform(digest: Column, word: int = 0) -> Column:
-    """Number in [0, 1) from one of the four 32 bit words of a digest."""
-    part = F.substring(digest, 1 + 8 * word, 8)
-    return F.conv(part, 16, 10).cast("long") / F.lit(float(HEX8))
+    """Number in [0, 1) from one word of a digest."""
+    return F.conv(hash_word(digest, word), 16, 10).cast("long") / F.lit(float(HEX8))
 
 
 def poisson_one_cdf(terms: int = 12) -> list[float]:
@@ -35,10 +39,15 @@ def poisson_one_cdf(terms: int = 12) -> list[float]:
     return out
 
 
-def poisson_weight(uniform: Column, terms: int = 12) -> Column:
-    """Poisson(1) draw for a uniform number, by inversion."""
-    steps = [F.when(uniform >= F.lit(p), 1).otherwise(0) for p in poisson_one_cdf(terms)]
-    total = steps[0]
-    for step in steps[1:]:
-        total = total + step
-    return total.cast("long")
+def poisson_weight(word: Column) -> Column:
+    """Poisson(1) draw for a word of a digest, by inversion.
+
+    Words of equal length compare like the numbers they stand for, so no draw
+    is ever converted, and most end after one or two comparisons.
+    """
+    limits = [math.ceil(p * HEX8) for p in poisson_one_cdf()]
+    limits = [limit for limit in limits if limit < HEX8]
+    draw = F.when(word < f"{limits[0]:08x}", 0)
+    for k, limit in enumerate(limits[1:], start=1):
+        draw = draw.when(word < f"{limit:08x}", k)
+    return draw.otherwise(len(limits)).cast("long")

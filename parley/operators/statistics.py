@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.functions.hashing import hash_order, hash_uniform, poisson_weight
+from parley.functions.hashing import hash_order, hash_word, poisson_weight
 
 
 def moderator_share(
@@ -57,8 +57,9 @@ def bootstrap_interval(
     drawn = rows.select(key, *ids, F.col(value).alias("_x")).withColumn("_block", block)
     drawn = drawn.withColumn("_digest", hash_order(seed, F.col("_block"), *map(F.col, ids)))
     weights = [f"_w{i}" for i in range(4)]
-    for i, w in enumerate(weights):
-        drawn = drawn.withColumn(w, poisson_weight(hash_uniform(F.col("_digest"), i)))
+    drawn = drawn.withColumns(
+        {w: poisson_weight(hash_word(F.col("_digest"), i)) for i, w in enumerate(weights)}
+    )
     sums = drawn.groupBy(key, "_block").agg(
         *[
             F.struct(F.sum(F.col(w) * F.col("_x")).alias("wx"), F.sum(w).alias("w")).alias(f"_s{i}")

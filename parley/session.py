@@ -20,11 +20,17 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int = 8, app: str = "parley", **conf: str) -> SparkSession:
-    """A local session for tests and benches; clusters bring their own."""
+def local_session(
+    cores: int = 8, app: str = "parley", memory: str = "8g", **conf: str
+) -> SparkSession:
+    """A local session for tests and benches; clusters bring their own.
+
+    In local mode the driver's heap is all the memory there is.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
+        .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
     )

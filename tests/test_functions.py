@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 from parley.functions import labels as L
 from parley.functions import parsing as P
 from parley.functions import text as X
-from parley.functions.hashing import hash_order, hash_uniform, poisson_one_cdf, poisson_weight
+from parley.functions.hashing import (
+    hash_order,
+    hash_uniform,
+    hash_word,
+    poisson_one_cdf,
+    poisson_weight,
+)
 
 
 def value(spark, column):
@@ -139,8 +145,10 @@ def test_decisions_agree_at_the_boundary(spark):
 def test_hashes_are_uniform_and_weights_are_poisson(spark):
     rows = spark.range(20000).withColumn("h", hash_order(42, F.col("id")))
     for word in range(4):
-        u = hash_uniform(F.col("h"), word)
-        row = rows.select(u.alias("u"), poisson_weight(u).alias("w")).agg(
+        u, w = hash_uniform(F.col("h"), word), poisson_weight(hash_word(F.col("h"), word))
+        steps = [F.when(u >= p, 1).otherwise(0) for p in poisson_one_cdf()]
+        assert rows.where(w != sum(steps[1:], steps[0])).count() == 0
+        row = rows.select(u.alias("u"), w.alias("w")).agg(
             F.avg("u").alias("u"), F.avg("w").alias("w"), F.var_samp("w").alias("v")
         ).first()
         assert abs(row["u"] - 0.5) < 0.01 and abs(row["w"] - 1) < 0.03 and abs(row["v"] - 1) < 0.06
