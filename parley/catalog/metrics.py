@@ -15,8 +15,9 @@ from parley.functions.parsing import (
     parse_single,
 )
 from parley.operators import metrics as M
+from parley.operators.corpus import in_training_group
 from parley.operators.scoring import log_loss
-from parley.operators.tables import melt
+from parley.operators.tables import melt, spread
 from parley.plans import evaluation
 
 COUNTS = ("precision", "recall", "f1p", "f1n", "accuracy")
@@ -96,6 +97,19 @@ def metric_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(long, "value")
 
 
+def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Thresholds as rows, one column per dataset with its F1."""
+    rows = M.threshold_sweep(V.scored(spark, sf), keys=["dataset"])
+    names = [f"ds{i}" for i in range(6)]
+    return rounded(spread(rows, ["threshold"], "dataset", "f1", names, fill=0.0), *names)
+
+
+def training_group_rows(spark: SparkSession, sf: str) -> DataFrame:
+    groups = {"first": ("ds0", "ds2"), "second": ("ds1", "ds3", "ds4")}
+    rows = in_training_group(V.scored(spark, sf), "second", groups)
+    return rows.select("message_id", "dataset", F.col("label").cast("long").alias("label"))
+
+
 def score_decision(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.scored(spark, sf).withColumn("logit", (F.col("score") - 0.5) * 8)
     probability = sigmoid(F.col("logit"))
@@ -166,6 +180,8 @@ QUERIES = {
     "threshold_sweep": threshold_sweep,
     "threshold_sweep_by_dataset": threshold_sweep_by_dataset,
     "metric_unpivot": metric_unpivot,
+    "metric_pivot": metric_pivot,
+    "training_group_rows": training_group_rows,
     "score_decision": score_decision,
     "score_eval": score_eval,
     "accuracy_macro_f1": accuracy_macro_f1,
@@ -311,6 +327,20 @@ union all select threshold, 'f1', round(f1,6) from s""",
         "scored",
         extra={**_SWEEP_ROWS, "s": _sweep_sql()},
     ),
+    "metric_pivot": V.with_views(
+        "select threshold, "
+        + ", ".join(
+            f"round(coalesce(max(case when dataset='ds{i}' then f1 end),0),6) as ds{i}" for i in range(6)
+        )
+        + f" from ({_sweep_sql('dataset')}) group by threshold",
+        "scored",
+        extra=_SWEEP_ROWS,
+    ),
+    "training_group_rows": V.with_views(
+        """select message_id, dataset, cast(label as bigint) as label from scored
+where dataset in ('ds1','ds3','ds4')""",
+        "scored",
+    ),
     "score_decision": V.with_views(
         """select message_id, round(1/(1+exp(-((score-0.5E0)*8))),6) as probability,
   cast(case when score >= 0.5E0 then 1 else 0 end as bigint) as decision,

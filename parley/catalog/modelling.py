@@ -10,6 +10,7 @@ from parley.catalog.common import cut_sql, r6
 from parley.functions.text import redact_prompt
 from parley.operators import sampling
 from parley.operators.batches import length_batches
+from parley.operators.corpus import label_columns
 from parley.operators.context import ancestors, with_context, with_context_length
 from parley.operators.metrics import class_ratio
 from parley.operators.scoring import batch_score, feature_rows, score_rows, train_head
@@ -54,9 +55,9 @@ def intervention_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_projection(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["is_moderator", "should_intervene"]
     rows = V.labelled(spark, sf)
-    return rows.select("message_id", *[F.col(c).cast("double").alias(f"y_{c}") for c in columns])
+    labels = label_columns(rows, ["is_moderator", "should_intervene"])
+    return rows.select("message_id", *[c.alias(f"y_{n}") for n, c in labels.items()])
 
 
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import null_as_word
 from parley.operators.ordering import exact_percentile, position_in_key
 from parley.operators.sampling import cap_per_key
-from parley.schemas import DATASETS, MERGED_SOURCES, TACTIC_POLARITY
+from parley.schemas import DATASETS, MERGED_SOURCES, TACTIC_POLARITY, TRAINING_GROUPS
 
 
 def _lookup(value: Column, names: Mapping[str, str]) -> Column:
@@ -48,6 +48,22 @@ def with_modality(df: DataFrame, modality: Mapping[str, str] | None = None) -> D
     return df.withColumn("modality", _lookup(F.col("dataset"), modality))
 
 
+def in_training_group(
+    df: DataFrame, group: str, groups: Mapping[str, Sequence[str]] = TRAINING_GROUPS
+) -> DataFrame:
+    """Rows of the datasets a named training group covers."""
+    return df.where(F.col("dataset").isin(*groups[group]))
+
+
+def label_columns(df: DataFrame, labels: str | Sequence[str]) -> dict[str, Column]:
+    """One or several label columns as numbers; unknown names raise before a job runs."""
+    names = [labels] if isinstance(labels, str) else list(labels)
+    missing = sorted(set(names) - set(df.columns))
+    if missing:
+        raise KeyError(f"label columns missing: {missing}")
+    return {name: F.col(name).cast("double") for name in names}
+
+
 def supported_only(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Rows whose moderation labels come from the source itself."""
     kept = df.where("moderation_supported")

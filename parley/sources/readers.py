@@ -59,7 +59,9 @@ def read_csv(
     if missing:
         raise ValueError(f"missing columns: {missing}")
     text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.options(**reader, enforceSchema=False).schema(text).csv(path)
+    # A nameless index column cannot be compared by name.
+    nameless = any(re.fullmatch(r"_c\d+", c) for c in header)
+    raw = spark.read.options(**reader, enforceSchema=nameless).schema(text).csv(path)
     return raw.select(*[_typed(field) for field in schema], "_metadata")
 
 

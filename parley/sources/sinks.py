@@ -19,9 +19,9 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | list[str] | None = None) -> None:
-    """Quotes are doubled, blanks kept, and empty text stays apart from missing text."""
+    """Quotes are doubled and blanks kept. Empty text reads back as missing."""
     writer = df.write.mode("overwrite").options(
-        header=True, quote='"', escape='"', emptyValue='""', nullValue="",
+        header=True, quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     if partition_by:

@@ -442,3 +442,11 @@ def test_observed_counters(spark, sf):
     rows.observe(seen, F.count_if(bad).alias("bad")).write.format("noop").mode("overwrite").save()
     assert seen.get["bad"] == T.quality_counters(rows, bad=bad).first()["bad"]
     assert T.observed(rows, "quality", bad=bad).count() == rows.count()
+
+
+def test_unknown_labels_raise_before_a_job(spark):
+    rows = spark.createDataFrame([(True,)], "is_moderator boolean")
+    with pytest.raises(KeyError):
+        C.label_columns(rows, ["is_moderator", "nothing"])
+    assert rows.select(C.label_columns(rows, "is_moderator")["is_moderator"]).first()[0] == 1.0
+    assert C.in_training_group(spark.createDataFrame([("iq2",), ("ceri",)], "dataset string"), "spoken").count() == 1
