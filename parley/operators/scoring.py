@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from parley.functions.labels import decide
 from parley.functions.text import redact_prompt
 from parley.operators.sampling import hash_split
+from parley.session import work_path
 
 Scorer = Callable[[str, pd.Series], pd.Series]
 
@@ -106,13 +107,23 @@ def train_head(
             featuresCol="features", labelCol="label", weightCol="weight",
             regParam=penalty, maxIter=max_iter,
         ).fit(weighted)
-        model = PipelineModel([head])
+        model = _landed(PipelineModel([head]), work_path(rows.sparkSession, "head"))
         loss = log_loss(score_rows(model, validate)).first()["loss"]
         if best is None or (loss is not None and loss < best[0]):
             best = (loss if loss is not None else float("inf"), model)
     return best[1], split
 
 
+def _landed(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as written and read back.
+
+    A freshly trained model still carries its training summary, and with it
+    the session, which cannot always be shipped to executors.
+    """
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``score``, the probability of the positive class, and the decision."""
     scored = model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), 1))

@@ -450,3 +450,20 @@ def test_unknown_labels_raise_before_a_job(spark):
         C.label_columns(rows, ["is_moderator", "nothing"])
     assert rows.select(C.label_columns(rows, "is_moderator")["is_moderator"]).first()[0] == 1.0
     assert C.in_training_group(spark.createDataFrame([("iq2",), ("ceri",)], "dataset string"), "spoken").count() == 1
+
+
+def test_a_trained_head_scores_in_a_session_with_observations(spark):
+    from pyspark.sql import Observation
+
+    from parley.operators.scoring import feature_rows, log_loss, score_rows, train_head
+
+    rows = spark.range(400).select(
+        "id", F.array((F.col("id") % 7).cast("double"), F.pmod(F.hash("id"), F.lit(5)).cast("double")).alias("x")
+    )
+    rows.observe(Observation("n"), F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    table = feature_rows(rows, "x", F.col("x")[0] > 4)
+    model, split = train_head(table.select("id", "features", "label"), "id", penalties=(0.0, 1.0))
+    scored = score_rows(model, split.where("split = 'test'"))
+    # The weaker penalty separates the classes and wins on validation loss.
+    assert log_loss(scored).first()["loss"] < 0.1
+    assert scored.where("decision <> label").count() == 0
