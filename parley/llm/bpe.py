@@ -20,12 +20,14 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.llm.vocabulary import ChunkEncoder, read_vocabulary
 
+# Rows of a batch that are Python objects at once.
+SLICE_ROWS = 512
 # Bits for a position in a heap entry, and for an id in a pair key.
 POSITION_BITS, ID_BITS = 40, 24
 
@@ -36,7 +38,8 @@ class HeapBpe:
     def __init__(self, path: str):
         vocab, merges, self.suffix, special = read_vocabulary(path)
         self.ids = vocab
-        self.strings = {i: s for s, i in vocab.items()} | special
+        strings = {i: s for s, i in vocab.items()} | special
+        self.strings = [strings.get(i) for i in range(max(strings, default=-1) + 1)]
         self.merges = {
             vocab[a] << ID_BITS | vocab[b]: (rank, vocab[a + b])
             for rank, (a, b) in enumerate(merges)
@@ -91,23 +94,29 @@ class HeapBpe:
 
 
 @functools.lru_cache(2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path, HeapBpe(path).encode_piece)
+def _vocabulary(path: str) -> HeapBpe:
+    return HeapBpe(path)
 
 
 @functools.lru_cache(2)
-def _decoder(path: str) -> HeapBpe:
-    return HeapBpe(path)
+def _encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path, _vocabulary(path).encode_piece)
+
+
+def _slices(batches: Iterator[pa.Array]) -> Iterator[list]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS).to_pylist()
 
 
 def encode(text: Column, path: str) -> Column:
     """Ids of whole texts as little-endian unsigned 32 bit numbers (binary)."""
 
-    @F.pandas_udf("binary")
-    def heap_bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def heap_bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path)
-        for texts in batches:
-            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
+        for texts in _slices(batches):
+            yield pa.array([encoder.encode(t) for t in texts], pa.binary())
 
     return heap_bpe_encode(text)
 
@@ -115,14 +124,28 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """Texts of ids written as `encode` writes them."""
 
-    @F.pandas_udf("string")
-    def bpe_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = _decoder(path)
-        for rows in batches:
-            yield pd.Series([decoder.decode(x) for x in rows], dtype=object)
+    @F.arrow_udf("string")
+    def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = _vocabulary(path)
+        for rows in _slices(batches):
+            yield pa.array([decoder.decode(x) for x in rows], pa.string())
 
     return bpe_decode(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """`encode` and then `decode` of its ids, as a struct, in one pass through Python."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def heap_bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _encoder(path), _vocabulary(path)
+        for texts in _slices(batches):
+            ids = [encoder.encode(t) for t in texts]
+            decoded = pa.array([decoder.decode(x) for x in ids], pa.string())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    return heap_bpe_round_trip(text)
+
+
 def n_ids(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, token_files
+from parley.llm import bpe, oph, simhash, token_files
 from parley.llm.shared import table
 from parley.session import work_path
 
@@ -25,20 +25,43 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = oph.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", oph.edited_with_next(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_packed", oph.packed(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        oph.hex_string(F.col("packed")).alias("fingerprint"),
+        oph.hex_string(F.col("edited_packed")).alias("edited_fingerprint"),
+        oph.likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),
+        oph.likeness(F.col("packed"), F.col("next_packed")).alias("near_next"),
+    )
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    rows = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    rows = rows.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", bpe.round_trip(F.col("text").cast("string"), vocabulary_path()).alias("r")
+    )
     return rows.select(
         "doc_id",
-        bpe.n_ids(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        bpe.n_ids(F.col("r.ids")).alias("n_tokens"),
+        F.sha2("r.ids", 256).alias("ids_sha256"),
+        F.sha2("r.decoded", 256).alias("decoded_sha256"),
     )
 
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op4_oph_fingerprints": op4_oph_fingerprints,
+    "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}

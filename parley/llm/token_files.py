@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ from parley.llm.vocabulary import ChunkEncoder, byte_letters
 
 ROWS_PER_SHARD = 8_192
 KEYS_PER_BUCKET = 65_536
+# Partitions per shard, so that few shards share one.
+SPREAD = 3
+# Rows of a batch that are Python objects at once.
+SLICE_ROWS = 512
 # Stands for a null key inside the index; a key of this very value counts as null.
 NULL_KEY = -(1 << 63)
 
@@ -76,11 +81,13 @@ def library_ids(text: Column, path: str, end_id: int, id_bytes: int) -> Column:
     """Ids of whole texts by the tokenizers library, with the end id, as binary."""
     end = end_id.to_bytes(id_bytes, "little")
 
-    @F.pandas_udf("binary")
-    def library_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def library_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _library_encoder(path, id_bytes)
-        for texts in batches:
-            yield pd.Series([encoder.encode(t) + end for t in texts], dtype=object)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE_ROWS):
+                texts = batch.slice(at, SLICE_ROWS).to_pylist()
+                yield pa.array([encoder.encode(t) + end for t in texts], pa.binary())
 
     return library_encode(text)
 
@@ -152,7 +159,7 @@ def write(
         library_ids(F.col("text"), path, end_id, id_bytes).alias("ids"),
     )
     placed = (
-        rows.repartition(shards + 1, "shard")
+        rows.repartition(SPREAD * (shards + 1), "shard")
         .sortWithinPartitions("shard", "key", F.xxhash64("ids"), "ids")
         .mapInPandas(
             _write_shards(folder, id_bytes),
@@ -294,7 +301,7 @@ def read(written: TokenFiles, keys: DataFrame, key: str = "doc_id") -> DataFrame
     shards = written.manifest.select("shard", "file", "start")
     return (
         found.join(shards, "shard")
-        .repartition(written.shards, "shard")
+        .repartition(SPREAD * written.shards, "shard")
         .sortWithinPartitions("shard", "row")
         .select("file", "key", "row", "rows", "start")
         .mapInPandas(

@@ -10,7 +10,7 @@ from collections.abc import Callable
 # Pieces of ASCII text, as the vocabulary file's own pattern finds them (fixed value).
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 # Entries of a cache's newer half: they bound memory and change speed, never ids.
-PIECE_ENTRIES, CHUNK_ENTRIES = 500_000, 200_000
+PIECE_ENTRIES, CHUNK_ENTRIES = 250_000, 60_000
 
 
 @functools.lru_cache(1)
