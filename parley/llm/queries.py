@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, oph, simhash, token_files
+from parley.llm import bpe, mixing, oph, simhash, token_files
 from parley.llm.shared import table
 from parley.session import work_path
 
@@ -40,6 +40,13 @@ def op4_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(plan).select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken"
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
@@ -61,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_oph_fingerprints": op4_oph_fingerprints,
+    "op5_source_mixing": op5_source_mixing,
     "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
