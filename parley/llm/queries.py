@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, mixing, oph, simhash, token_files
+from parley.llm import bpe, mixing, oph, simhash, token_files, topk
 from parley.llm.shared import table
 from parley.session import work_path
 
@@ -17,6 +17,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     written = token_files.write(docs, work_path(spark, "token-files"), vocabulary_path())
@@ -66,10 +70,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_exact_topk": op2_exact_topk,
     "op3_token_files": op3_token_files,
     "op4_oph_fingerprints": op4_oph_fingerprints,
     "op5_source_mixing": op5_source_mixing,
     "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+OP2_SQL = """
+with usable as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from usable q join usable c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op2_exact_topk": OP2_SQL}
