@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, mixing, oph, simhash, token_files, topk
-from parley.llm.shared import table
+from parley.llm import bpe, language, mixing, oph, simhash, token_files, topk
+from parley.llm.shared import id_remainder, table
 from parley.session import work_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,6 +57,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    model = language.fit(docs, ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model).alias("p"))
+    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", bpe.round_trip(F.col("text").cast("string"), vocabulary_path()).alias("r")
@@ -75,6 +83,7 @@ QUERIES = {
     "op4_oph_fingerprints": op4_oph_fingerprints,
     "op5_source_mixing": op5_source_mixing,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op10_bpe": op10_bpe,
 }
 OP2_SQL = """

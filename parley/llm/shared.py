@@ -39,3 +39,8 @@ def id_slicer(df: DataFrame, key: str, rows: int):
         return F.coalesce(F.floor(offset / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
 
     return of, slices
+
+
+def id_remainder(key: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n; null for a null id."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
