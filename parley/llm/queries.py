@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, language, mixing, oph, simhash, token_files, topk
+from parley.llm import bpe, language, line_crf, mixing, oph, simhash, token_files, topk
 from parley.llm.shared import id_remainder, table
 from parley.session import work_path
 
@@ -17,6 +17,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    model = line_crf.fit(docs, labels, ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), line_crf.score(F.col("text"), model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= line_crf.GOOD_FROM).cast("int"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -78,6 +86,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_crf_quality": op1_line_crf_quality,
     "op2_exact_topk": op2_exact_topk,
     "op3_token_files": op3_token_files,
     "op4_oph_fingerprints": op4_oph_fingerprints,
