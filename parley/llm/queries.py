@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, language, line_crf, mixing, oph, simhash, token_files, topk
+from parley.llm import bpe, language, line_crf, mixing, oph, perspectives, revisits, simhash, token_files, topk
+from parley.llm.captures import CAPTURES_SQL, captures
 from parley.llm.shared import id_remainder, table
 from parley.session import work_path
 
@@ -59,6 +60,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
@@ -73,6 +78,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(F.array_sort(lines), "\n"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", bpe.round_trip(F.col("text").cast("string"), vocabulary_path()).alias("r")
@@ -91,8 +102,10 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_oph_fingerprints": op4_oph_fingerprints,
     "op5_source_mixing": op5_source_mixing,
+    "op6_perspectives": op6_perspectives,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_revisits": op9_revisits,
     "op10_bpe": op10_bpe,
 }
 OP2_SQL = """
@@ -111,4 +124,75 @@ with usable as (
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op2_exact_topk": OP2_SQL}
+OP6_SQL = """
+with rows as (
+  select conv_id, cast(turn as bigint) as turn, role as speaker, coalesce(text, '') as text from conversations
+), people as (
+  select distinct conv_id, speaker as perspective from rows where speaker is distinct from 'system'
+), seen as (
+  select p.conv_id, p.perspective, r.turn, r.speaker, r.text,
+    case when r.speaker is not distinct from 'system' then 'system'
+      when r.speaker is not distinct from p.perspective then 'assistant' else 'user' end as role
+  from people p join rows r on r.conv_id is not distinct from p.conv_id
+), named as (
+  select *, case when role = 'user' then coalesce(speaker, '') end as name from seen
+), headed as (
+  select *, '<|im_start|>' || role || case when name <> '' then ' name=' || name else '' end || chr(10) as head from named
+), rendered as (
+  select *, head || text || '<|im_end|>' || chr(10) as rendered from headed
+), placed as (
+  select *, coalesce(sum(length(rendered)) over (
+    partition by conv_id, perspective order by turn nulls first, speaker nulls first, text
+    rows between unbounded preceding and 1 preceding), 0) as start
+  from rendered
+)
+select conv_id, perspective, turn, role, name, rendered, cast(start as bigint) as start,
+  cast(start + length(head) as bigint) as mask_from,
+  cast(start + length(head) + case when role = 'assistant' then length(text) + 10 else 0 end as bigint) as mask_to
+from placed
+"""
+
+OP9_SQL = f"""
+with {CAPTURES_SQL}, split as (
+  select *, regexp_replace(trim(url), '#.*$', '') as clean from captures
+), parted as (
+  select *, lower(regexp_extract(clean, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme,
+    lower(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)) as place,
+    regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) as rest
+  from split
+), canon as (
+  select *, case when scheme = '' then clean else scheme || '://' ||
+    case when scheme = 'http' then regexp_replace(place, ':80$', '')
+      when scheme = 'https' then regexp_replace(place, ':443$', '') else place end ||
+    case when starts_with(rest, '/') then rest else '/' || rest end end as canonical_url
+  from parted
+), answers as (
+  select * from canon where kind = 'response'
+  qualify row_number() over (partition by canonical_url, ts order by record_id desc) = 1
+), asked as (
+  select r.record_id, r.canonical_url, r.ts, a.record_id as response_id,
+    r.etag as fresh_tag, r.modified as fresh_date, a.etag as tag, a.modified as old_date, a.ctype,
+    coalesce(r.cache, a.cache) as cache, coalesce(r.date, a.date) as date, coalesce(r.etag, a.etag) as etag,
+    coalesce(r.expires, a.expires) as expires
+  from (select * from canon where kind = 'revisit') r
+  asof left join answers a on r.canonical_url = a.canonical_url and r.ts > a.ts
+), judged as (
+  select *, case when response_id is null then 'no_response'
+    when fresh_tag is not null and tag is not null then
+      case when regexp_replace(fresh_tag, '^W/', '') = regexp_replace(tag, '^W/', '') then 'resolved' else 'mismatch' end
+    when fresh_date is not null and old_date is not null then
+      case when fresh_date = old_date then 'resolved' else 'mismatch' end
+    else 'unverified' end as status
+  from asked
+)
+select record_id, canonical_url, ts, status, response_id,
+  case when status = 'resolved' then concat_ws(chr(10), 'cache-control: ' || cache, 'content-type: ' || ctype,
+    'date: ' || date, 'etag: ' || etag, 'expires: ' || expires, 'last-modified: ' || old_date) end as headers
+from judged
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_exact_topk": OP2_SQL,
+    "op6_perspectives": OP6_SQL,
+    "op9_revisits": OP9_SQL,
+}

@@ -44,3 +44,24 @@ def id_slicer(df: DataFrame, key: str, rows: int):
 def id_remainder(key: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
+
+
+def order_buckets(rows: DataFrame, group: str, order: str, rows_per_bucket: int = 2_048) -> DataFrame:
+    """Per group: its first position and the width of the buckets its positions are cut into.
+
+    A group with many rows gets many buckets, so running totals and lookups
+    inside a group never need all its rows in one task. Positions are integers;
+    the result has one row per group and is landed, so a join with it is a plain
+    one that adaptive execution splits where a group is large.
+    """
+    span = (F.max(order) - F.min(order)).cast("double") + 1.0
+    parts = F.ceil(F.count("*") / F.lit(rows_per_bucket))
+    found = rows.groupBy(F.col(group).alias("_group")).agg(
+        F.min(order).alias("_first"), F.greatest(F.ceil(span / parts), F.lit(1)).cast("long").alias("_width")
+    )
+    return landed(found, "order-buckets")
+
+
+def bucket_of(order: str) -> Column:
+    """The bucket of a row joined with `order_buckets`; -1 for a null position."""
+    return F.coalesce(F.floor((F.col(order) - F.col("_first")) / F.col("_width")), F.lit(-1)).cast("long")
