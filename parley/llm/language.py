@@ -170,7 +170,7 @@ def fit(
     """Fit on a bounded sample of the rows where `learn` holds and the language is known."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
-        F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1).alias("pick"),
+        F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 2).alias("pick"),
     )
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -179,7 +179,7 @@ def fit(
     # A language's share of hashes that leaves about `most` rows; the limit makes the bound exact.
     kept = functools.reduce(
         lambda a, b: a | b,
-        [(F.col("lang") == name) & (F.col("pick") <= int(min(1.0, most / n) * (2**63 - 1))) for name, n in counts.items()],
+        [(F.col("lang") == name) & (F.col("pick") <= int(min(1.0, most / n) * 2**62)) for name, n in counts.items()],
     )
     sample = rows.where(kept).limit(2 * most * len(counts))
     found = sample.mapInArrow(_sample_vectors, "lang string, vector binary").collect()

@@ -230,33 +230,33 @@ def mixed_texts(
     )
     # No more parts in a group than a text has blocks.
     drawn = parts.groupBy("id", "source", "size", "text_hash", "start", "epoch").agg(
-        F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("_parts"),
-        (F.sum("n_words") == F.col("size")).alias("_whole"),
+        F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("_mix_parts"),
+        (F.sum("n_words") == F.col("size")).alias("_mix_whole"),
     )
     drawn = drawn.select(
-        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_parts", "_whole"
+        F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), "_mix_parts", "_mix_whole"
     )
     body = F.col(text).cast("string")
-    texts = docs.withColumn("_text_hash", F.xxhash64(body)).dropDuplicates([key, source, "_text_hash"])
+    texts = docs.withColumn("_mix_text_hash", F.xxhash64(body)).dropDuplicates([key, source, "_mix_text_hash"])
     rows = texts.join(
         drawn,
-        F.col(key).cast("long").eqNullSafe(F.col("_id"))
-        & F.col(source).cast("string").eqNullSafe(F.col("_source"))
-        & (F.col("_text_hash") == F.col("_hash")),
+        F.col(key).cast("long").eqNullSafe(F.col("_mix_id"))
+        & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
+        & (F.col("_mix_text_hash") == F.col("_mix_hash")),
     )
     chosen = let(
         words(body),
         lambda all_words: F.array_join(
             F.flatten(
                 F.transform(
-                    F.col("_parts"),
+                    F.col("_mix_parts"),
                     lambda p: F.slice(all_words, (p.getField("first") + 1).cast("int"), p.getField("n_words").cast("int")),
                 )
             ),
             " ",
         ),
     )
-    rows = rows.withColumn(text, F.when(F.col("_whole"), body).otherwise(chosen))
+    rows = rows.withColumn(text, F.when(F.col("_mix_whole"), body).otherwise(chosen))
     if n_chars in docs.columns:
         rows = rows.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
     return rows.select(docs.columns)
