@@ -13,17 +13,19 @@ from parley.operators import statistics as S
 from parley.operators.ordering import exact_percentile
 from parley.operators.tables import experiment_matrix, id_union, in_category_order, in_order
 from parley.plans import exploration
-from parley.session import spread
 from parley.schemas import FACILITATIVE_TACTICS, TACTIC_POLARITY
 
 NAMES = {"ds0": "CeRI", "ds1": "WikiDisputes", "ds2": "Fora", "ds3": "UMOD"}
 MODALITY = {"CeRI": "written", "WikiDisputes": "written", "UMOD": "written", "Fora": "spoken"}
 MERGED = {"ds0": "wikipedia", "ds1": "wikipedia", "ds2": "wikipedia"}
-REPLICATES = 200
+REPLICATES = 1000
 CATEGORIES = FACILITATIVE_TACTICS + ("Conceding/recanting", "I don't know")
 TAXONOMY = TACTIC_POLARITY + (("CeRI", "Unlisted tactic", None),)
-RUN_MODELS = ("olmo7b", "qwen7b", "llama8b")
-RUN_PROMPTS = (("detection", "timing_detection"), ("prediction", "timing_prediction"))
+RUN_MODELS = tuple(f"model{i}" for i in range(1, 7))
+RUN_PROMPTS = (
+    ("detection", "timing_detection"), ("prediction", "timing_prediction"),
+    ("dual", "survey_dual"), ("single", "survey_single"),
+)
 
 
 def normalised_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +69,7 @@ def words_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_words_hist(spark: SparkSession, sf: str) -> DataFrame:
-    rows = exploration.word_histogram(spread(V.documents_as_comments(spark, sf), "doc_id"))
+    rows = exploration.word_histogram(V.documents_as_comments(spark, sf))
     return rounded(rows, "bin_low", "bin_high", "density")
 
 

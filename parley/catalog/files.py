@@ -10,6 +10,7 @@ from parley import views as V
 from parley.catalog.common import rounded
 from parley.operators.metrics import threshold_sweep
 from parley.operators.ratings import keep_first
+from parley.operators.tables import union_all
 from parley.plans import evaluation
 from parley.plans import modelling as plan
 from parley.session import work_path
@@ -88,18 +89,16 @@ def file_name_scan(spark: SparkSession, sf: str) -> DataFrame:
     root = work_path(spark, "answers")
     answers = V.survey_responses(spark, sf)
     for column, suffix in (
-        ("dual_response", "_dual_interventions.md.csv"),
-        ("single_response_text", "_single_intervention.md.csv"),
+        ("dual_response", "_dual.csv"),
+        ("single_response_text", "_single.csv"),
     ):
         named = answers.select(
             "conv_id",
             F.col(column).alias("response"),
-            sinks.export_name("llm_intervention_", "model", suffix).alias("export"),
+            sinks.export_name("", "model", suffix).alias("export"),
         )
         sinks.write_csv(named, f"{root}/{column}", partition_by="export")
-    dual = readers.read_dual_responses(spark, root).withColumn(
-        "model", F.regexp_replace("model", "_dual_interventions.md$", "")
-    )
+    dual = readers.read_dual_responses(spark, root)
     single = readers.read_single_responses(spark, root)
     return dual.join(single, ["model", "conv_id"]).select(
         "model", "conv_id", "data_malformation", *readers.SCALES, "single_response"
@@ -113,15 +112,18 @@ def prediction_scan(spark: SparkSession, sf: str) -> DataFrame:
     tasks = F.explode(F.array(F.lit("detection"), F.lit("prediction")))
     named = answers.withColumn("task", tasks).select(
         "message_id", "dataset", "is_moderator", "should_intervene", "response",
-        F.concat(
-            F.lit("llm_intervention_"), "model", F.lit("_timing_"), "task", F.lit(".csv")
-        ).alias("export"),
+        F.concat("model", F.lit("_timing_"), "task", F.lit(".csv")).alias("export"),
     )
     sinks.write_csv(named, root, partition_by="export")
-    rows = readers.read_predictions(spark, root).where("task = 'detection'")
-    metrics = evaluation.answer_metrics(rows, "is_moderator")
+    rows = readers.read_predictions(spark, root)
+    # Detection is about the comment itself, prediction about what follows it.
+    truths = {"detection": "is_moderator", "prediction": "should_intervene"}
+    metrics = union_all([
+        evaluation.answer_metrics(rows.where(F.col("task") == task), truth).withColumn("task", F.lit(task))
+        for task, truth in truths.items()
+    ])
     names = ["precision", "recall", "f1p", "f1n", "accuracy"]
-    return rounded(metrics, *names).select("model", "dataset", *names, "support_rows")
+    return rounded(metrics, *names).select("task", "model", "dataset", *names, "support_rows")
 
 
 def curve_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,6 +163,7 @@ QUERIES = {
 
 def _oracles() -> dict[str, str]:
     from parley.catalog.metrics import ORACLES as METRICS
+    from parley.catalog.metrics import _eval_sql
     from parley.catalog.modelling import _SPLIT
     from parley.catalog.survey import _FIRST
 
@@ -197,10 +200,13 @@ from survey_responses s join (select model, conv_id, cast(regexp_extract(dual_re
       as no_reinforcement from survey_responses) p using (model, conv_id)""",
             "survey_responses",
         ),
-        "prediction_scan": (
-            "select model, dataset, precision, recall, f1p, f1n, accuracy, support_rows from ("
-            + METRICS["eval_by_dataset"]
-            + ")"
+        "prediction_scan": " union all ".join(
+            f"select '{task}' as task, model, dataset, precision, recall, f1p, f1n, accuracy, support_rows"
+            f" from ({sql})"
+            for task, sql in (
+                ("detection", METRICS["eval_by_dataset"]),
+                ("prediction", _eval_sql("responses", "should_intervene")),
+            )
         ),
         "curve_scan": (
             "select dataset as run, threshold, precision, recall, f1 from ("

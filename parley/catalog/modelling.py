@@ -21,7 +21,8 @@ from parley.sources.sinks import land_corpus, write_parquet, write_splits
 from parley.streaming.append import append_scored, stream_files
 
 SHORT = 150
-SUBSET = 53
+# The size in use, and one that needs the random top-up.
+FULL_SUBSET, SUBSET = 2000, 53
 
 
 def context_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,13 +82,17 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("message_id", "split")
 
 
-def balanced_subset(spark: SparkSession, sf: str) -> DataFrame:
+def balanced_subset(spark: SparkSession, sf: str, n: int = SUBSET) -> DataFrame:
     path = work_path(spark, "splits")
     write_splits(plan.splits(V.labelled(spark, sf), "should_intervene"), path)
-    subset = plan.test_subset(read_split(spark, path, "test"), V.comments(spark, sf), n=SUBSET)
+    subset = plan.test_subset(read_split(spark, path, "test"), V.comments(spark, sf), n=n)
     return subset.select("message_id", "dataset", "origin", "discussion")
 
 
+def balanced_subset_full(spark: SparkSession, sf: str) -> DataFrame:
+    return balanced_subset(spark, sf, FULL_SUBSET)
+
+
 def sample_remainder(spark: SparkSession, sf: str) -> DataFrame:
     comments = V.comments(spark, sf)
     taken = sampling.balanced_ids(comments, SUBSET)
@@ -140,7 +145,7 @@ def weighted_head(spark: SparkSession, sf: str) -> DataFrame:
 
 def classifier_score(spark: SparkSession, sf: str) -> DataFrame:
     rows = feature_rows(V.table(spark, sf, "embeddings"), "embedding", F.col("label") < 5)
-    model, split = train_head(rows.select("vec_id", "features", "label"), "vec_id", penalties=(0.01,))
+    model, split = train_head(rows.select("vec_id", "features", "label"), "vec_id")
     return score_rows(model, split).select("vec_id", r6("score").alias("score"), "decision")
 
 
@@ -171,6 +176,7 @@ QUERIES = {
     "stratified_split": stratified_split,
     "hash_split": hash_split,
     "balanced_subset": balanced_subset,
+    "balanced_subset_2000": balanced_subset_full,
     "sample_remainder": sample_remainder,
     "length_batches": batches,
     "length_batches_full": full_batches,
@@ -219,16 +225,16 @@ from labelled where should_intervene is not null""",
 }
 
 
-def _sample(source: str) -> dict[str, str]:
+def _sample(source: str, n: int = SUBSET) -> dict[str, str]:
     return {
-        "quota": f"select {SUBSET} // count(distinct dataset) as q from {source}",
+        "quota": f"select {n} // count(distinct dataset) as q from {source}",
         "even": f"""select message_id, dataset, md5('42|'||message_id) as h from {source}
 qualify row_number() over (partition by dataset order by md5('42|'||message_id), message_id)
   <= (select q from quota)""",
         "extra": f"""select message_id, dataset, md5('42|'||message_id) as h from {source}
 where message_id not in (select message_id from even)
 qualify row_number() over (order by md5('42|'||message_id), message_id)
-  <= {SUBSET} - (select count(*) from even)""",
+  <= {n} - (select count(*) from even)""",
         "sample": """select message_id, dataset, 'quota' as origin from even
 union all select message_id, dataset, 'top_up' as origin from extra""",
     }
@@ -302,17 +308,20 @@ from (select message_id, cast(('0x'||substr(md5('42|'||message_id),1,8)) as bigi
   / 4294967296.0E0 as u from comments)""",
         "comments",
     ),
-    "balanced_subset": V.with_views(
-        f"""select s.message_id, s.dataset, s.origin, d.discussion
+    **{
+        name: V.with_views(
+            f"""select s.message_id, s.dataset, s.origin, d.discussion
 from sample s join (select * from ({_context_sql(3, 3000, "c.message_id")})) d using (message_id)""",
-        "labelled",
-        extra={
-            **_SPLIT,
-            "test": "select * from split where split = 'test' and moderation_supported",
-            **_sample("test"),
-            **_cut(3000),
-        },
-    ),
+            "labelled",
+            extra={
+                **_SPLIT,
+                "test": "select * from split where split = 'test' and moderation_supported",
+                **_sample("test", n),
+                **_cut(3000),
+            },
+        )
+        for name, n in (("balanced_subset", SUBSET), ("balanced_subset_2000", FULL_SUBSET))
+    },
     "sample_remainder": V.with_views(
         """select message_id, dataset from comments
 where message_id not in (select message_id from sample)""",

@@ -148,13 +148,13 @@ def final_label_missing(spark: SparkSession, sf: str) -> DataFrame:
 def label_names(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.with_label(_aligned(spark, sf))
     name = label_name(F.col("label"))
-    column = F.concat("annotator", F.lit("_dual_interventions.md_final_label"))
+    column = F.concat("annotator", F.lit("_dual_final_label"))
     return rows.select(
         "annotator", "conv_id",
         name.alias("name"),
         short_label_name(F.col("label")).alias("short_name"),
         label_code(name).alias("code"),
-        strip_suffixes(column, ("_final_label", "_dual_interventions.md")).alias("rater"),
+        strip_suffixes(column, ("_final_label", "_dual")).alias("rater"),
         shorten(F.concat_ws(" ", "annotator", "conv_id", F.lit("says that this is"), name)).alias("caption"),
     )
 

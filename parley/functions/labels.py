@@ -72,9 +72,10 @@ def sigmoid(logit: Column) -> Column:
 
 
 def decide(score: Column, threshold: float = 0.5) -> Column:
-    return (score >= F.lit(threshold)).cast("long")
+    """1 from the threshold on; a score that is not a number is 0."""
+    return ((score >= F.lit(threshold)) & ~F.isnan(score)).cast("long")
 
 
 def decide_logit(logit: Column) -> Column:
     """The same decision before the sigmoid."""
-    return (logit >= F.lit(0.0)).cast("long")
+    return decide(logit, 0.0)

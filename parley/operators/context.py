@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import null_as_word, truncate_comment
 from parley.operators.ordering import keep_first, next_value
 
-# Most targets a caller may declare small enough to send to every executor.
+# Most targets whose ids are sent to every executor; more are joined by a shuffle.
 SMALL_TARGETS = 100_000
 
 
@@ -18,8 +18,11 @@ def unique_lookup(lookup: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _step(chain: DataFrame, links: DataFrame, current: str, out: str) -> DataFrame:
-    """Add the parent of ``current``; null at a root or an unknown id."""
-    parents = links.select(F.col("message_id").alias("_id"), F.col("reply_to").alias(out))
+    """Add the parent of ``current``; null at a root or an unknown id.
+
+    Of rows that share an id the smallest parent counts, so a chain never forks.
+    """
+    parents = links.groupBy(F.col("message_id").alias("_id")).agg(F.min("reply_to").alias(out))
     # A quarter of all comments are roots. Joined on null they would all land
     # in one partition, so they are spread by their own id and kept apart by
     # the second condition.
@@ -32,8 +35,8 @@ def _step(chain: DataFrame, links: DataFrame, current: str, out: str) -> DataFra
 def _small_step(chain: DataFrame, links: DataFrame, current: str, out: str) -> DataFrame:
     """The same step for few targets: the lookup is scanned, never shuffled."""
     wanted = F.broadcast(chain.select(F.col(current).alias("message_id")).dropna().distinct())
-    found = links.join(wanted, "message_id").select(
-        F.col("message_id").alias(current), F.col("reply_to").alias(out)
+    found = links.join(wanted, "message_id").groupBy(F.col("message_id").alias(current)).agg(
+        F.min("reply_to").alias(out)
     )
     return chain.join(F.broadcast(found), current, "left")
 
@@ -71,9 +74,10 @@ def _found(
     chain = ancestors(targets, lookup, hops, small_targets)
     if small_targets:
         chain = F.broadcast(chain)
-    return lookup.select("message_id", payload.alias("_payload")).join(chain, "message_id").select(
-        "target_id", "hop", "_payload"
-    )
+    found = lookup.select("message_id", payload.alias("_payload")).join(chain, "message_id")
+    # Of rows that share an id the smallest payload counts. Partitioning by
+    # target alone serves this grouping and the caller's.
+    return found.repartition("target_id").groupBy("target_id", "hop").agg(F.min("_payload").alias("_payload"))
 
 
 def with_context(
@@ -86,21 +90,17 @@ def with_context(
     """Add ``n_ancestors`` and ``discussion``, the tagged context and target.
 
     Oldest ancestor first. Ids are walked first and every text is fetched once,
-    cut to length at the scan. ``lookup`` needs unique message ids; use
-    ``unique_lookup`` where that is not given.
+    cut to length at the scan. Rows of ``lookup`` that share a message id count
+    once, with the smallest parent and text; ``unique_lookup`` keeps the first.
     """
     text = truncate_comment(null_as_word(F.col("text")), max_chars)
     found = _found(targets, lookup, hops, small_targets, text)
-    # At most ``hops`` rows per target. Partitioning by target before grouping
-    # leaves one sort instead of one on each side of the shuffle.
+    # At most ``hops`` rows per target.
     context = (
-        found.repartition("target_id")
-        .groupBy("target_id")
+        found.groupBy("target_id")
         .agg(F.sort_array(F.collect_list(F.struct("hop", "_payload")), asc=False).alias("_found"))
         .select(F.col("target_id").alias("message_id"), "_found")
     )
-    if small_targets:
-        context = F.broadcast(context)
     tagged = F.transform(
         "_found", lambda a: F.concat(F.lit("<CTX>"), a["_payload"], F.lit("</CTX>"))
     )
@@ -128,8 +128,6 @@ def with_context_length(
         .agg(F.sum("_payload").alias("_context"))
         .withColumnRenamed("target_id", "message_id")
     )
-    if small_targets:
-        context = F.broadcast(context)
     return (
         targets.withColumn("_own", size)
         .join(context, "message_id", "left")

@@ -126,9 +126,9 @@ def threshold_sweep(
     directly; only those few groups are then spread over the thresholds.
     """
     steps = sorted(thresholds)
-    reached = F.size(
-        F.filter(F.array(*[F.lit(float(t)) for t in steps]), lambda t: t <= F.col(score))
-    )
+    # A score that is not a number reaches no threshold, though it sorts above all.
+    value = F.nanvl(F.col(score).cast("double"), F.lit(float("-inf")))
+    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in steps]), lambda t: t <= value))
     positive = F.col(label).cast("double") == 1
     groups = df.groupBy(*keys, reached.alias("_reached")).agg(
         F.count(F.lit(1)).alias("_rows"), _count_if(positive).alias("_pos")

@@ -60,15 +60,19 @@ def next_value(
 ) -> DataFrame:
     """Value of the next row of the key, by an integer position unique in it.
 
-    Positions start at 0. A slice spans ``width`` positions, so it holds at
-    most that many rows. Only keys with later slices need the second step, and
-    its scan is filtered on the position, which reaches the file scan.
+    A slice spans ``width`` positions, so it holds at most that many rows. Only
+    keys with other slices than the one from 0 on need the second step, and its
+    scan is filtered on the position, which reaches the file scan. The slice
+    from 0 on takes part for keys that also have positions below 0.
     """
     inside = Window.partitionBy(key, "_slice").orderBy(position)
     rows = _sliced(df, position, width).withColumn("_inner", F.lead(value).over(inside))
     across = Window.partitionBy(key).orderBy("_slice")
+    at = F.col(position)
+    early = df.where(at < 0).select(key).distinct()
+    central = df.where((at >= 0) & (at < width)).join(early, key, "left_semi")
     heads = (
-        _sliced(df.where(F.col(position) >= width), position, width)
+        _sliced(df.where((at >= width) | (at < 0)).unionByName(central), position, width)
         .groupBy(key, "_slice")
         .agg(F.min_by(value, position).alias("_head"))
         .select(key, F.coalesce(F.lag("_slice").over(across), F.lit(0)).alias("_slice"), "_head")
@@ -90,7 +94,8 @@ def position_in_key(
     """
     inside = Window.partitionBy(key, "_slice").orderBy(position)
     rows = _sliced(df, position, width).withColumn("_inner", F.row_number().over(inside))
-    long_keys = df.where(F.col(position) >= width).select(key).distinct()
+    outside = (F.col(position) >= width) | (F.col(position) < 0)
+    long_keys = df.where(outside).select(key).distinct()
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         _sliced(df.select(key, position).join(long_keys, key, "left_semi"), position, width)

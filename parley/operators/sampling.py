@@ -38,7 +38,6 @@ def stratified_split(
     validate: float = 0.2,
     seed: int = SEED,
     id_col: str = "message_id",
-    classes: Sequence[float] = (0.0, 1.0),
     out: str = "split",
 ) -> DataFrame:
     """Split every class in exact shares: round(n * share) rows in hash order.
@@ -50,9 +49,9 @@ def stratified_split(
     """
     share = train + validate
     keyed = (
-        df.where(F.col(target).isin(*classes))
+        df.where(F.col(target).isNotNull())
         .select(
-            F.col(target).cast("double").alias("_class"),
+            F.col(target).alias("_class"),
             hash_order(seed, F.col(id_col)).alias("_digest"),
             F.col(id_col).cast("string").alias("_id"),
         )
@@ -60,7 +59,7 @@ def stratified_split(
     )
     by_class = Window.partitionBy("_class")
     upto = by_class.orderBy("_prefix")
-    # One row per class and prefix: at most len(classes) * 16 ** PREFIX_DIGITS.
+    # One row per class and prefix: at most 16 ** PREFIX_DIGITS rows for a class.
     slices = (
         keyed.groupBy("_class", "_prefix")
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -86,11 +85,11 @@ def stratified_split(
         F.map_from_entries(F.collect_list(F.struct("_class", F.struct("train", "val"))))
     ).scalar()
     own = F.concat(hash_order(seed, F.col(id_col)), F.col(id_col).cast("string"))
-    cut = F.try_element_at(lookup, F.col(target).cast("double"))
+    cut = F.try_element_at(lookup, F.col(target))
     split = (
         F.when(own <= cut["train"], "train").when(own <= cut["val"], "val").otherwise("test")
     )
-    return df.where(F.col(target).isin(*classes)).withColumn(out, split)
+    return df.where(F.col(target).isNotNull()).withColumn(out, split)
 
 
 def _cut_inside(cut: str) -> Column:
@@ -106,8 +105,8 @@ def balanced_ids(
     without repeating a row. The top-up comes from the first n rows overall:
     at most the quota rows are missing there, so enough others remain.
     """
-    if not 0 < n <= SMALL_TARGETS:
-        raise ValueError(f"sample size must be in 1..{SMALL_TARGETS}")
+    if n <= 0:
+        raise ValueError("the sample size must be positive")
     groups = df.select(key).distinct().count()
     quota = n // max(groups, 1)
     keyed = df.select(id_col, key, hash_order(seed, F.col(id_col)).alias("_digest"))
@@ -128,10 +127,15 @@ def balanced_subset(
     hops: int = 3,
     max_chars: int = 3000,
 ) -> DataFrame:
-    """The balanced sample with its origin and context text (``discussion``)."""
+    """The balanced sample with its origin and context text (``discussion``).
+
+    The ids are written once; how many there are decides whether they are sent
+    to all executors or joined by a shuffle. The rows are the same either way.
+    """
     ids = checkpointed(balanced_ids(df, n, key, seed=seed))
-    sample = df.join(F.broadcast(ids), "message_id")
-    return with_context(sample, lookup, hops, max_chars, small_targets=True)
+    few = n <= SMALL_TARGETS
+    sample = df.join(F.broadcast(ids) if few else ids, "message_id")
+    return with_context(sample, lookup, hops, max_chars, small_targets=few)
 
 
 def remainder(df: DataFrame, taken: DataFrame, id_col: str = "message_id") -> DataFrame:

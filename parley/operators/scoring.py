@@ -48,20 +48,19 @@ def batch_score(
 ) -> DataFrame:
     """Add the model's answer to every row.
 
-    The prompt text is built in the JVM. ``make_scorer`` runs once per
-    partition, so a real model loads once per task; rows arrive in Arrow
-    batches. This is the only Python step of the library.
+    The prompt text is built in the JVM and is the only column that goes
+    through Python, in Arrow batches. ``make_scorer`` runs once per partition,
+    so a real model loads once per task. This is the only Python step of the
+    library.
     """
-    prompts = df.withColumn("_prompt", redact_prompt(F.col(text), max_chars))
-    schema = df.schema.add(out, "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = make_scorer()
-        for batch in batches:
-            answers = scorer(system_prompt, batch.pop("_prompt"))
-            yield batch.assign(**{out: answers})
+        for prompts in batches:
+            yield scorer(system_prompt, prompts)
 
-    return prompts.mapInPandas(run, schema)
+    return df.withColumn(out, answer(redact_prompt(F.col(text), max_chars)))
 
 
 def feature_rows(df: DataFrame, features: str, label: Column) -> DataFrame:

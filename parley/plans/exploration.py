@@ -11,8 +11,6 @@ from parley.operators.statistics import (
     density_histogram,
     discussion_sizes,
     moderator_share,
-    moderator_share_macro,
-    surviving_groups,
 )
 
 
@@ -26,6 +24,8 @@ def word_histogram(comments: DataFrame, bins: int = 50, cap: int = 500) -> DataF
 
 def moderation_intervals(comments: DataFrame, replicates: int = 1000) -> DataFrame:
     """Mean moderator share per moderated dataset with a 95 % interval."""
-    shares = moderator_share(comments)
-    moderated = surviving_groups(shares, moderator_share_macro(shares))
-    return bootstrap_interval(moderated, "moderator_percent", ["conv_id"], replicates=replicates)
+    intervals = bootstrap_interval(
+        moderator_share(comments), "moderator_percent", ["conv_id"], replicates=replicates
+    )
+    # Datasets without moderation go at the end, one row each: no join of all discussions.
+    return intervals.where("mean_pct > 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -50,10 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="parley-")
+        return _local_root()
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+@functools.cache
+def _local_root() -> str:
+    """One temporary folder for all local work of this process."""
+    return tempfile.mkdtemp(prefix="parley-")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -66,14 +73,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """One partition per core for a plain scan that has fewer splits than cores.
-
-    A small file in a single row group would keep all other cores idle. Large
-    scans have more splits than cores and are left alone. For scans only:
-    counting the partitions of a plan with a shuffle would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -7,8 +7,10 @@ cluster writes a large table.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +53,44 @@ def read_csv(
 
     The header of the first file decides the positions; a file with another
     header raises instead of being read by position. Missing columns raise
-    while the query is planned.
+    while the query is planned. Spark cannot compare headers with a nameless
+    index column; such files are grouped by their own header lines, and each
+    group is read by its names.
     """
     reader = {**CSV_OPTIONS, "recursiveFileLookup": True, **options}
     header = spark.read.options(**reader).csv(path).columns
+    if not any(re.fullmatch(r"_c\d+", c) for c in header):
+        return _read_group(spark, path, header, schema, reader, enforce=False)
+    groups = _by_header(spark, path, reader)
+    parts = [_read_group(spark, files, names, schema, reader, enforce=True) for names, files in groups]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _by_header(spark: SparkSession, path: str | list[str], reader: dict) -> list[tuple[list[str], list[str]]]:
+    """Column names and files of each kind of header line, in one job over first lines."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    out = []
+    for row in found.collect():
+        cells = next(csv.reader([row["header"]], delimiter=reader.get("sep", ",")))
+        out.append(([c or f"_c{i}" for i, c in enumerate(cells)], row["files"]))
+    return out
+
+
+def _read_group(
+    spark: SparkSession, path: str | list[str], header: list[str], schema: T.StructType, reader: dict,
+    enforce: bool,
+) -> DataFrame:
     missing = sorted(set(schema.names) - set(header))
     if missing:
         raise ValueError(f"missing columns: {missing}")
     text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    # A nameless index column cannot be compared by name.
-    nameless = any(re.fullmatch(r"_c\d+", c) for c in header)
-    raw = spark.read.options(**reader, enforceSchema=nameless).schema(text).csv(path)
+    raw = spark.read.options(**reader, enforceSchema=enforce).schema(text).csv(path)
     return raw.select(*[_typed(field) for field in schema], "_metadata")
 
 
@@ -103,8 +132,8 @@ def _named(stem: str) -> str:
     return rf"/(?:[^/=]+=)?{stem}(?:/[^/]+)?$"
 
 
-def _from_path(pattern: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+def _from_path(pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
 
 
 def _model_name(name: Column) -> Column:
@@ -143,47 +172,55 @@ def read_human_ratings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def alias_raters(ratings: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Raters renamed A1, A2, … in the order of their names."""
+    """Raters renamed A1, A2, … in the order of their names; others keep their name."""
     seat = F.array_position(F.array(*[F.lit(n) for n in sorted(names)]), F.col("annotator"))
-    return ratings.withColumn("annotator", F.concat(F.lit("A"), seat.cast("string")))
+    return ratings.withColumn(
+        "annotator",
+        F.when(seat > 0, F.concat(F.lit("A"), seat.cast("string"))).otherwise(F.col("annotator")),
+    )
 
 
-DUAL_NAME = _named(r"(?:llm_intervention_)?([^/=]+_dual_interventions\.md)\.csv")
-SINGLE_NAME = _named(r"(?i:(?:llm_intervention_)?([^/=]+?)_single_intervention\.md\.csv)")
-PREDICTION_NAME = _named(r"(llm_intervention_[^/]*_timing_(?:prediction|detection))\.csv")
+# File names as patterns with one group, the model; a prefix before it is optional.
+DUAL_STEM = r"([^/=]+)_dual\.csv"
+SINGLE_STEM = r"([^/=]+)_single\.csv"
+PREDICTION_STEM = r"([^/=]+)_timing_([a-z]+)\.csv"
 CURVE_NAME = r"/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?pr_curves\.csv(?:/[^/]+)?$"
 
 
-def read_dual_responses(spark: SparkSession, root: str, lenient: bool = False) -> DataFrame:
-    """Three-scale model answers; the model is the capitalised file stem."""
-    rows = _scan(spark, root, DUAL_NAME, RESPONSES)
+def read_dual_responses(
+    spark: SparkSession, root: str, lenient: bool = False, stem: str = DUAL_STEM
+) -> DataFrame:
+    """Three-scale model answers; the model is the capitalised group of the file name."""
+    name = _named(stem)
+    rows = _scan(spark, root, name, RESPONSES)
     parsed = parse_dual(F.col("response"), lenient)
     return rows.select(
-        _model_name(_from_path(DUAL_NAME)).alias("model"),
+        _model_name(_from_path(name)).alias("model"),
         "conv_id",
         F.lit("no").alias("data_malformation"),
         *[c.alias(s) for s, c in parsed.items()],
     )
 
 
-def read_single_responses(spark: SparkSession, root: str) -> DataFrame:
+def read_single_responses(spark: SparkSession, root: str, stem: str = SINGLE_STEM) -> DataFrame:
     """Single-scale model answers."""
-    rows = _scan(spark, root, SINGLE_NAME, RESPONSES)
+    name = _named(stem)
+    rows = _scan(spark, root, name, RESPONSES)
     return rows.select(
-        _model_name(_from_path(SINGLE_NAME)).alias("model"),
+        _model_name(_from_path(name)).alias("model"),
         "conv_id",
         parse_single(F.col("response")).alias("single_response"),
     )
 
 
-def read_predictions(spark: SparkSession, root: str, schema: T.StructType = PREDICTIONS) -> DataFrame:
-    """Answers of both timing tasks, with ``model`` and ``task`` columns."""
-    rows = _scan(spark, root, PREDICTION_NAME, schema)
-    stem = _from_path(PREDICTION_NAME)
+def read_predictions(
+    spark: SparkSession, root: str, schema: T.StructType = PREDICTIONS, stem: str = PREDICTION_STEM
+) -> DataFrame:
+    """Answers of all timing tasks; ``model`` and ``task`` are the groups of the file name."""
+    name = _named(stem)
+    rows = _scan(spark, root, name, schema)
     return rows.select(
-        F.element_at(F.split(stem, "_"), 3).alias("model"),
-        F.regexp_extract(stem, "_timing_([a-z]+)$", 1).alias("task"),
-        *schema.names,
+        _from_path(name).alias("model"), _from_path(name, 2).alias("task"), *schema.names
     )
 
 

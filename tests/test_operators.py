@@ -190,9 +190,10 @@ def test_balanced_subset_tops_up_without_repeats(targets, n):
         assert len(from_quota) == min(quota, size)
 
 
-def test_balanced_subset_has_a_size_bound(targets):
+def test_balanced_ids_have_no_upper_bound(targets):
+    assert S.balanced_ids(targets, S.SMALL_TARGETS + 1).count() == 2000
     with pytest.raises(ValueError):
-        S.balanced_ids(targets, S.SMALL_TARGETS + 1)
+        S.balanced_ids(targets, 0)
 
 
 def test_remainder(targets):

@@ -43,7 +43,7 @@ def test_groups_are_limited_before_the_shuffle(spark, sf, name):
 def test_only_bounded_sides_are_broadcast(spark, sf):
     # A sample of n ids, and the slices that hold a cut of a split.
     broadcast = {n for n in set(QUERIES) - EAGER if "BroadcastHashJoin" in plan(spark, sf, n)}
-    assert broadcast == {"balanced_subset", "stratified_split", "class_ratio_train"}
+    assert broadcast == {"balanced_subset", "balanced_subset_2000", "stratified_split", "class_ratio_train"}
 
 
 def test_scans_read_only_what_they_need(spark, sf):
@@ -73,3 +73,9 @@ def test_rows_do_not_depend_on_the_number_of_partitions(spark, sf):
             assert seen[0] == seen[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_only_the_prompt_goes_through_python(spark, sf):
+    text = plan(spark, sf, "batch_score")
+    assert [line.strip()[:30] for line in text.split("\n") if "Python" in line] == ["+- ArrowEvalPython [answer(repl"]
+    assert "MapInPandas" not in text

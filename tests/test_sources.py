@@ -56,23 +56,23 @@ def test_rating_sheets(spark, tmp_path):
 
 def test_answer_files_name_their_model(spark, tmp_path):
     root = f"{tmp_path}/a"
-    write(f"{root}/llm_intervention_QWEN7b_dual_interventions.md.csv", "response,conv_id\nPositive: 3,1\n")
-    write(f"{root}/deep/llm_intervention_olmo7b_single_intervention.md.csv", "conv_id,response\n1,about 4\n2,unsure\n")
-    write(f"{root}/llm_intervention_olmo7b_timing_prediction.csv",
+    write(f"{root}/MODEL7b_dual.csv", "response,conv_id\nPositive: 3,1\n")
+    write(f"{root}/deep/small7b_single.csv", "conv_id,response\n1,about 4\n2,unsure\n")
+    write(f"{root}/small7b_timing_prediction.csv",
           "message_id,dataset,is_moderator,should_intervene,response\n5,ceri,False,1.0,yes\n")
     write(f"{root}/other.csv", "a,b\n1,2\n")
     dual = readers.read_dual_responses(spark, root).first()
-    assert (dual["model"], dual["positive_reinforcement"]) == ("Qwen7b_dual_interventions.md", 3)
+    assert (dual["model"], dual["positive_reinforcement"]) == ("Model7b", 3)
     single = {r["conv_id"]: (r["model"], r["single_response"]) for r in readers.read_single_responses(spark, root).collect()}
-    assert single == {"1": ("Olmo7b", 4.0), "2": ("Olmo7b", None)}
+    assert single == {"1": ("Small7b", 4.0), "2": ("Small7b", None)}
     row = readers.read_predictions(spark, root).first()
-    assert (row["model"], row["task"], row["response"], row["is_moderator"]) == ("olmo7b", "prediction", "yes", False)
+    assert (row["model"], row["task"], row["response"], row["is_moderator"]) == ("small7b", "prediction", "yes", False)
 
 
 def test_different_headers_raise_instead_of_mixing_columns(spark, tmp_path):
     root = f"{tmp_path}/h"
-    write(f"{root}/llm_intervention_a_single_intervention.md.csv", "conv_id,response\n1,2\n")
-    write(f"{root}/llm_intervention_b_single_intervention.md.csv", "response,conv_id\n2,1\n")
+    write(f"{root}/a_single.csv", "conv_id,response\n1,2\n")
+    write(f"{root}/b_single.csv", "response,conv_id\n2,1\n")
     with pytest.raises(Exception, match="(?i)header"):
         readers.read_single_responses(spark, root).collect()
 
