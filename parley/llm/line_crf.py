@@ -259,8 +259,9 @@ def fit(
         for label in (0, 1)
     ]
     # At most 2 * per_class ids of a few bytes: safe to broadcast.
-    sample = docs.join(F.broadcast(picked[0].union(picked[1])), docs[key] == F.col("_id")).select(
-        F.col(text).cast("string").alias("text"), "quality"
+    texts = docs.select(F.col(key).alias("_of"), F.col(text).cast("string").alias("text"))
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("_of") == F.col("_id")).select(
+        "text", "quality"
     ).limit(4 * per_class)
     rows = sample.mapInArrow(_sample_features(sample_lines), "quality int, n int, x binary, lengths binary").collect()
     y = np.array([r["quality"] for r in rows], int)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from parley.session import work_path
 
+# Holds the difference of any two 64 bit integers.
+_WIDE = "decimal(20,0)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,8 +38,8 @@ def id_slicer(df: DataFrame, key: str, rows: int):
 
     def of(column: str | Column) -> Column:
         value = F.col(column) if isinstance(column, str) else column
-        offset = (value.cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)"))
-        return F.coalesce(F.floor(offset / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+        offset = value.cast(_WIDE) - F.lit(str(low)).cast(_WIDE)
+        return F.coalesce(F.floor(offset / F.lit(str(width)).cast(_WIDE)).cast("long"), F.lit(-1).cast("long"))
 
     return of, slices
 
@@ -54,14 +57,15 @@ def order_buckets(rows: DataFrame, group: str, order: str, rows_per_bucket: int
     the result has one row per group and is landed, so a join with it is a plain
     one that adaptive execution splits where a group is large.
     """
-    span = (F.max(order) - F.min(order)).cast("double") + 1.0
+    span = F.max(order).cast(_WIDE) - F.min(order).cast(_WIDE) + F.lit(1).cast(_WIDE)
     parts = F.ceil(F.count("*") / F.lit(rows_per_bucket))
     found = rows.groupBy(F.col(group).alias("_group")).agg(
-        F.min(order).alias("_first"), F.greatest(F.ceil(span / parts), F.lit(1)).cast("long").alias("_width")
+        F.min(order).alias("_first"), F.greatest(F.ceil(span / parts).cast(_WIDE), F.lit(1).cast(_WIDE)).alias("_width")
     )
     return landed(found, "order-buckets")
 
 
 def bucket_of(order: str) -> Column:
     """The bucket of a row joined with `order_buckets`; -1 for a null position."""
-    return F.coalesce(F.floor((F.col(order) - F.col("_first")) / F.col("_width")), F.lit(-1)).cast("long")
+    offset = F.col(order).cast(_WIDE) - F.col("_first").cast(_WIDE)
+    return F.coalesce(F.floor(offset / F.col("_width")).cast("long"), F.lit(-1).cast("long"))
