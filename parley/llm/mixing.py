@@ -233,17 +233,15 @@ def mixed_texts(
         F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("_mix_parts"),
         (F.sum("n_words") == F.col("size")).alias("_mix_whole"),
     )
-    drawn = drawn.select(
-        F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), "_mix_parts", "_mix_whole"
-    )
+    drawn = drawn.select(F.struct("id", "source", "text_hash").alias("_mix_at"), "_mix_parts", "_mix_whole")
     body = F.col(text).cast("string")
-    texts = docs.withColumn("_mix_text_hash", F.xxhash64(body)).dropDuplicates([key, source, "_mix_text_hash"])
-    rows = texts.join(
-        drawn,
-        F.col(key).cast("long").eqNullSafe(F.col("_mix_id"))
-        & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
-        & (F.col("_mix_text_hash") == F.col("_mix_hash")),
-    )
+    # Texts move once, by this key: repeated rows and the join share the partitioning. Nulls in it are equal.
+    at = F.struct(
+        F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"),
+        F.xxhash64(body).alias("text_hash"),
+    ).cast(drawn.schema["_mix_at"].dataType)
+    texts = docs.withColumn("_mix_key", at).repartition("_mix_key").dropDuplicates(["_mix_key"])
+    rows = texts.join(drawn, F.col("_mix_key") == F.col("_mix_at"))
     chosen = let(
         words(body),
         lambda all_words: F.array_join(

@@ -179,7 +179,12 @@ def groups(
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group: the one with the smallest id. All columns pass through."""
+    """One document of each group: the one with the smallest id. All columns pass through.
+
+    Texts move once, by id: the join with the kept ids and the choice of one of
+    repeated rows share that partitioning. The one row without an id that may
+    stay is found apart.
+    """
     kept = landed(
         groups(docs, key=key, text=text, **options)
         .where(F.col(key).eqNullSafe(F.col("component_id")))
@@ -187,4 +192,7 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **op
         .distinct(),
         "simhash-kept",
     )
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key])
+    named = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
+    if kept.where("_kept is null").isEmpty():
+        return named
+    return named.union(docs.where(F.col(key).isNull()).limit(1))
