@@ -35,7 +35,7 @@ MAX_EPOCHS = 3
 BLOCK = 64
 SEED = 42
 ROUNDS = 24
-ROWS_PER_BUCKET = 8_192
+ROWS_PER_BUCKET = 2_048
 SLOTS_PER_SHARD = 4_096
 SLOTS_PER_CHUNK = 16_384
 
@@ -158,7 +158,9 @@ def drawn_slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     counts = draws.groupBy("source", "blocks", "name", shard.alias("shard")).agg(F.count("*").alias("count"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))
-    placed = counts.withColumn("offset", offset).repartition("name", "shard")
+    # A few bytes stand for thousands of slots: keep all tasks, which runtime re-planning would merge.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = counts.withColumn("offset", offset).repartition(tasks, "name", "shard")
     slots = placed.select(
         "shard", "source", "blocks", "name",
         F.explode(F.sequence("offset", F.col("offset") + F.col("count") - 1)).alias("slot"),
