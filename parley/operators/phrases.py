@@ -16,11 +16,12 @@ from parley.functions.text import (
     content_words,
 )
 from parley.operators.ordering import first_k
+from parley.session import work_path
 
 STOP_WORDS = ENGLISH_STOP_WORDS + WEB_STOP_WORDS
 
 
-def phrase_rows(
+def document_phrases(
     texts: DataFrame,
     doc: str,
     dataset: str = "dataset",
@@ -29,14 +30,18 @@ def phrase_rows(
     sizes: Sequence[int] = (2, 3),
     glued: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
-    """(doc, dataset, phrase, is_first): every phrase of every text, with repeats.
+    """(doc, dataset, phrase, tf): every distinct phrase of every text.
 
-    ``is_first`` marks one occurrence per text, so texts can be counted without
-    grouping by text. Each step is its own projection of whole arrays and no
+    Texts are dealt out by id first: their phrases are several times as large,
+    so that costs little, and the work does not depend on how files are cut.
+    Phrases are sorted and counted inside the row, so a text leaves one row per
+    distinct phrase. Each step is its own projection of whole arrays and no
     lambda looks outside its elements: a text is cleaned and sorted once.
     """
     words = content_words(clean_text(F.col(text), glued), stop_words)
-    runs = texts.select(doc, dataset, words.alias("_p1"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(doc, dataset, text).repartition(tasks, doc)
+    runs = dealt.select(doc, dataset, words.alias("_p1"))
     for size in range(2, max(sizes) + 1):
         n = F.greatest(F.size("_p1") - (size - 1), F.lit(0))
         longer = F.zip_with(
@@ -48,16 +53,21 @@ def phrase_rows(
     ordered = runs.select(
         doc, dataset, F.sort_array(F.concat(*[F.col(f"_p{size}") for size in sizes])).alias("phrase")
     )
-    before = F.slice(F.array_prepend("phrase", F.lit(None)), F.lit(1), F.size("phrase"))
-    return ordered.select(doc, dataset, "phrase", before.alias("before")).select(
-        doc, dataset, F.inline(F.arrays_zip("phrase", "before"))
-    ).select(doc, dataset, "phrase", (~F.col("phrase").eqNullSafe(F.col("before"))).alias("is_first"))
-
-
-def document_phrases(texts: DataFrame, doc: str, dataset: str = "dataset", **options) -> DataFrame:
-    """(doc, dataset, phrase, tf): every distinct phrase of every text."""
-    rows = phrase_rows(texts, doc, dataset, **options)
-    return rows.groupBy(doc, dataset, "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    n = F.size("phrase")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    before = F.slice(F.array_prepend("phrase", F.lit(None)), F.lit(1), n)
+    numbered = ordered.select(
+        doc, dataset, n.alias("n"),
+        F.arrays_zip("phrase", before.alias("before"), places.alias("at")).alias("all"),
+    )
+    first = F.filter("all", lambda x: ~x["phrase"].eqNullSafe(x["before"]))
+    starts = numbered.select(doc, dataset, "n", first.alias("first"))
+    ends = F.array_append(F.slice(F.transform("first", lambda x: x["at"]), F.lit(2), F.size("first")), F.col("n"))
+    counted = F.zip_with(
+        "first", ends.alias("end"),
+        lambda x, end: F.struct(x["phrase"].alias("phrase"), (end - x["at"]).cast("long").alias("tf")),
+    )
+    return starts.select(doc, dataset, F.inline(counted).alias("phrase", "tf"))
 
 
 def frequent_phrases(
@@ -65,9 +75,9 @@ def frequent_phrases(
 ) -> DataFrame:
     """Most frequent phrases per dataset among those in ``min_df`` texts; ties by phrase."""
     counts = (
-        phrase_rows(texts, doc, dataset, **options)
+        document_phrases(texts, doc, dataset, **options)
         .groupBy(dataset, "phrase")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_first").alias("_df"))
+        .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("_df"))
         .where(F.col("_df") >= min_df)
         .drop("_df")
     )
@@ -85,24 +95,21 @@ def tfidf(
 ) -> DataFrame:
     """(doc, dataset, phrase, tfidf): smooth idf, every text scaled to length one.
 
-    Exact: no hashing of phrases. Occurrences meet their document frequency in
-    one shuffle by phrase and their text in one by text; counting repeats and
-    the norm both happen there, in groups no larger than one text.
+    Exact: no hashing of phrases. Texts are cleaned once: their distinct
+    phrases are written to the shared folder and read for the document
+    frequencies and for the weights. A phrase of a text moves once by phrase
+    and once by text, for the norm, in groups no larger than a text.
     """
-    rows = phrase_rows(texts, doc, dataset, glued=glued, **options)
+    path = work_path(texts.sparkSession, "phrases")
+    document_phrases(texts, doc, dataset, glued=glued, **options).write.parquet(path)
+    terms = texts.sparkSession.read.parquet(path)
     frequency = (
-        rows.groupBy("phrase").agg(F.count_if("is_first").alias("_df")).where(F.col("_df") >= min_df)
+        terms.groupBy("phrase").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df)
     )
     n_texts = texts.agg(F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1.0) + n_texts) / (F.lit(1.0) + F.col("_df"))) + 1.0
-    known = rows.select(doc, dataset, "phrase").join(
-        frequency.select("phrase", idf.alias("_idf")), "phrase"
-    )
-    weighted = (
-        known.repartition(doc)
-        .groupBy(doc, dataset, "phrase", "_idf")
-        .agg(F.count(F.lit(1)).alias("_tf"))
-        .withColumn("_w", F.col("_tf") * F.col("_idf"))
+    weighted = terms.join(frequency.select("phrase", idf.alias("_idf")), "phrase").withColumn(
+        "_w", F.col("tf") * F.col("_idf")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return weighted.select(doc, dataset, "phrase", (F.col("_w") / norm).alias("tfidf"))
