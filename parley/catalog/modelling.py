@@ -13,7 +13,14 @@ from parley.operators.batches import length_batches
 from parley.operators.corpus import label_columns
 from parley.operators.context import ancestors, with_context, with_context_length
 from parley.operators.metrics import class_ratio
-from parley.operators.scoring import batch_score, feature_rows, score_rows, train_head
+from parley.operators.scoring import (
+    batch_score,
+    feature_rows,
+    head_report,
+    linear_score,
+    score_rows,
+    train_head,
+)
 from parley.plans import modelling as plan
 from parley.session import work_path
 from parley.sources.readers import read_split
@@ -149,6 +156,22 @@ def classifier_score(spark: SparkSession, sf: str) -> DataFrame:
     return score_rows(model, split).select("vec_id", r6("score").alias("score"), "decision")
 
 
+def _fixed_weights(n: int = 64) -> list[float]:
+    """A head given by a formula on the index."""
+    return [((7 * i) % 11 - 5) / 4.0 for i in range(n)]
+
+
+def linear_head_score(spark: SparkSession, sf: str) -> DataFrame:
+    rows = linear_score(V.table(spark, sf, "embeddings"), "embedding", _fixed_weights(), 0.25)
+    return rows.select("vec_id", r6("score").alias("score"), "decision")
+
+
+def weighted_head_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feature_rows(V.table(spark, sf, "embeddings"), "embedding", F.col("label") < 5)
+    model, split = train_head(rows.select("vec_id", "features", "label"), "vec_id")
+    return head_report(model, split).withColumn("pos_weight", r6("pos_weight"))
+
+
 def stream_append(spark: SparkSession, sf: str) -> DataFrame:
     arrived, out = work_path(spark, "arrived"), work_path(spark, "scored")
     comments = V.comments(spark, sf)
@@ -184,6 +207,8 @@ QUERIES = {
     "batch_score": scored_answers,
     "weighted_head": weighted_head,
     "classifier_score": classifier_score,
+    "linear_head_score": linear_head_score,
+    "weighted_head_report": weighted_head_report,
     "stream_append": stream_append,
 }
 
@@ -345,6 +370,22 @@ from comments""",
         "comments",
         extra=_cut(3000),
     ),
+    "linear_head_score": """select vec_id, round(p, 6) as score, cast(case when p >= 0.5E0 then 1 else 0 end as bigint) as decision
+from (select vec_id, 1.0E0 / (1.0E0 + exp(-(0.25E0 + list_sum(list_transform(range(64),
+  lambda i: cast(embedding[i + 1] as double) * (((7 * i) % 11 - 5) / 4.0E0)))))) as p from embeddings)""",
+    "weighted_head_report": """with labelled as (
+  select vec_id, case when label < 5 then 1 else 0 end as y from embeddings where label is not null
+), ranked as (
+  select *, row_number() over (partition by y order by md5('42|'||cast(vec_id as string)), cast(vec_id as string)) as rn,
+    count(*) over (partition by y) as n from labelled
+), split as (
+  select y, case when rn <= floor(n*0.6E0 + 0.5E0) then 'train'
+    when rn <= floor(n*0.8E0 + 0.5E0) then 'val' else 'test' end as split from ranked
+)
+select split, count(*) as n, cast(sum(y) as bigint) as positives,
+  (select round(sum(1 - y) / nullif(sum(y), 0)::double, 6) from split where split = 'train') as pos_weight,
+  true as beats_constant
+from split group by split""",
     "stream_append": V.with_views(
         f"""select message_id, dataset, {_ANSWER} as response from (
   select message_id, dataset, replace(replace(substr(text,1,3000),'moderator','X'),

@@ -13,9 +13,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.labels import decide
+from parley.functions.labels import decide, sigmoid
 from parley.functions.text import redact_prompt
-from parley.operators.sampling import hash_split
+from parley.operators.sampling import stratified_split
 from parley.session import work_path
 
 Scorer = Callable[[str, pd.Series], pd.Series]
@@ -86,12 +86,13 @@ def train_head(
 ) -> tuple[PipelineModel, DataFrame]:
     """One-logit head on fixed features, positives weighted by the class ratio.
 
-    ``rows`` has ``features`` and ``label``. The ratio is taken from training
-    rows only; the penalty with the lowest validation loss wins. Training is
+    ``rows`` has ``features`` and ``label``. The split is stratified by label,
+    so a rare class has rows everywhere. The ratio is taken from training rows
+    only; the penalty with the lowest validation loss wins. Training is
     Spark ML's distributed optimiser: only coefficients reach the driver.
     Returns the model and the rows with their split.
     """
-    split = hash_split(rows, seed=seed, id_col=id_col)
+    split = stratified_split(rows, "label", seed=seed, id_col=id_col)
     train, validate = split.where("split = 'train'"), split.where("split = 'val'")
     ratio = train.agg(
         F.coalesce(
@@ -113,6 +114,40 @@ def train_head(
     return best[1], split
 
 
+def linear_score(
+    df: DataFrame, features: str, weights: Sequence[float], bias: float = 0.0, out: str = "score"
+) -> DataFrame:
+    """Score array features with an exported head: sigmoid of a dot product, in the JVM.
+
+    Features of another length than the weights, or with a missing one, have no score.
+    """
+    terms = F.zip_with(
+        F.col(features).cast("array<double>"), F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w
+    )
+    logit = F.aggregate(terms, F.lit(float(bias)), lambda total, term: total + term)
+    return df.withColumn(out, sigmoid(F.when(F.size(features) == len(weights), logit))).withColumn(
+        "decision", decide(F.col(out))
+    )
+
+
+def head_report(model: PipelineModel, split: DataFrame) -> DataFrame:
+    """Rows, positives and class weight per split, and whether the head fits better than a constant.
+
+    Both are judged by the weighted loss of the training rows, which a converged
+    head lowers at any penalty; the weighted classes are equal, so the best
+    constant is one half.
+    """
+    positive = F.count_if(F.col("label") == 1)
+    train = split.where("split = 'train'")
+    weight = train.agg(F.try_divide(F.count_if(F.col("label") == 0), positive)).scalar()
+    scored = score_rows(model, train.select("label", "features"))
+    by_class = log_loss(scored, ["label"]).agg(F.avg("loss")).scalar()
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), positive.alias("positives")).select(
+        "split", "n", "positives", weight.alias("pos_weight"),
+        (by_class < F.log(F.lit(2.0))).alias("beats_constant"),
+    )
+
+
 def _landed(model: PipelineModel, path: str) -> PipelineModel:
     """The model as written and read back.
 

@@ -7,7 +7,7 @@ from parley.operators.context import ancestors, with_context, with_context_lengt
 from parley.operators.metrics import threshold_sweep
 from parley.operators.ordering import next_value, position_in_key
 from parley.operators.sampling import stratified_split
-from parley.operators.scoring import batch_score
+from parley.operators.scoring import batch_score, linear_score
 from parley.sources import readers
 
 NAN = float("nan")
@@ -81,3 +81,9 @@ def test_unknown_raters_keep_their_names(spark):
     df = spark.createDataFrame([("zoe",), ("adam",), ("eve",), ("ivo",)], "annotator string")
     got = [r["annotator"] for r in readers.alias_raters(df, ["zoe", "adam"]).collect()]
     assert got == ["A2", "A1", "eve", "ivo"]
+
+
+def test_linear_scores_by_hand(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [None, 1.0])], "id int, v array<double>")
+    got = {r["id"]: (r["score"], r["decision"]) for r in linear_score(df, "v", [2.0, -1.0], 0.0).collect()}
+    assert got == {1: (0.5, 1), 2: (None, None), 3: (None, None), 4: (None, None)}
