@@ -11,7 +11,7 @@ from parley.functions.text import redact_prompt
 from parley.operators import sampling
 from parley.operators.batches import length_batches
 from parley.operators.corpus import label_columns
-from parley.operators.context import ancestors, with_context, with_context_length
+from parley.operators.context import ancestors, reply_depth, with_context, with_context_length
 from parley.operators.metrics import class_ratio
 from parley.operators.scoring import (
     batch_score,
@@ -58,6 +58,10 @@ def reply_chain(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def reply_position(spark: SparkSession, sf: str) -> DataFrame:
+    return reply_depth(V.comments(spark, sf))
+
+
 def intervention_label(spark: SparkSession, sf: str) -> DataFrame:
     return V.labelled(spark, sf).select("message_id", "conv_id", "turn", "should_intervene")
 
@@ -192,6 +196,7 @@ QUERIES = {
     "context_text_cut": context_text_cut,
     "context_length": context_length,
     "reply_chain": reply_chain,
+    "reply_position": reply_position,
     "intervention_label": intervention_label,
     "label_projection": label_projection,
     "class_ratio": class_weights,
@@ -311,6 +316,14 @@ join comments p on c.reply_to = p.message_id
 join comments q on p.reply_to = q.message_id where q.reply_to is not null""",
         "comments",
     ),
+    "reply_position": V.with_views(
+        """select message_id, depth from (with recursive chain as (
+  select c.message_id, cast(0 as bigint) as depth from comments c
+  where c.reply_to is null or c.reply_to not in (select message_id from comments)
+  union all select c.message_id, p.depth + 1 from comments c join chain p on c.reply_to = p.message_id
+) select * from chain)""",
+        "comments",
+    ),
     "intervention_label": V.with_views(
         "select message_id, conv_id, turn, should_intervene from labelled", "labelled"
     ),

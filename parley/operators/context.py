@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import null_as_word, truncate_comment
 from parley.operators.ordering import keep_first, next_value
+from parley.session import work_path
 
 # Most targets whose ids are sent to every executor; more are joined by a shuffle.
 SMALL_TARGETS = 100_000
@@ -68,6 +69,44 @@ def ancestors(
     )
 
 
+def reply_depth(comments: DataFrame) -> DataFrame:
+    """(message_id, depth): replies between a comment and the start of its chain.
+
+    The order of a discussion without turn numbers. Every round doubles the
+    distance that is known, so the rounds grow with the logarithm of the
+    longest chain; each is written to the shared folder. Comments whose parent
+    is missing or unknown have depth 0. Comments on a cycle, or above one, have
+    none. Of rows that share an id the smallest parent counts.
+    """
+    spark = comments.sparkSession
+    links = comments.groupBy("message_id").agg(F.min("reply_to").alias("up")).where("message_id is not null")
+    known = links.select(F.col("message_id").alias("_id"))
+    state = _written(
+        links.join(known, F.col("up") == F.col("_id"), "left").select(
+            "message_id", F.col("_id").alias("up"), F.when(F.col("_id").isNull(), 0).otherwise(1).cast("long").alias("depth")
+        ),
+        spark,
+    )
+    n, open_ends = state.agg(F.count("*"), F.count("up")).first()
+    reach = 1
+    while open_ends and reach < 2 * n:
+        above = state.select(F.col("message_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        state = _written(
+            state.join(above, F.col("up") == F.col("_id"), "left").select(
+                "message_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")
+            ),
+            spark,
+        )
+        open_ends, reach = state.agg(F.count("up")).first()[0], 2 * reach
+    return state.select("message_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
+def _written(df: DataFrame, spark) -> DataFrame:
+    path = work_path(spark, "chains")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _found(
     targets: DataFrame, lookup: DataFrame, hops: int, small_targets: bool, payload: Column
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from parley.catalog import QUERIES
 
 # Queries that run a job while they are built, for a file or a trained model.
 EAGER = {
-    "weighted_head", "weighted_head_report", "classifier_score", "stream_append", "csv_round_trip", "split_round_trip",
+    "weighted_head", "weighted_head_report", "reply_position", "classifier_score", "stream_append", "csv_round_trip", "split_round_trip",
     "tfidf", "characteristic_phrases", "characteristic_phrases_moderators",
     "lookup_scan", "human_scan", "file_name_scan", "prediction_scan", "curve_scan", "skip_existing",
 }

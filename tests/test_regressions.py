@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parley.functions.labels import decide, decide_logit
-from parley.operators.context import ancestors, with_context, with_context_length
+from parley.operators.context import ancestors, reply_depth, with_context, with_context_length
 from parley.operators.metrics import threshold_sweep
 from parley.operators.ordering import next_value, position_in_key
 from parley.operators.sampling import stratified_split
@@ -87,3 +87,13 @@ def test_linear_scores_by_hand(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [None, 1.0])], "id int, v array<double>")
     got = {r["id"]: (r["score"], r["decision"]) for r in linear_score(df, "v", [2.0, -1.0], 0.0).collect()}
     assert got == {1: (0.5, 1), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+
+def test_depth_along_replies(spark):
+    chain = [(str(i), str(i - 1) if i else None) for i in range(37)]
+    rows = chain + [("x", "unknown"), ("y", "x"), ("c1", "c2"), ("c2", "c1"), ("above", "c1"), ("self", "self"), ("3", "2"), (None, "1")]
+    df = spark.createDataFrame(rows, "message_id string, reply_to string")
+    got = {r["message_id"]: r["depth"] for r in reply_depth(df).collect()}
+    want = {str(i): i for i in range(37)} | {"x": 0, "y": 1, "c1": None, "c2": None, "above": None, "self": None}
+    assert got == want
+    assert reply_depth(df.limit(0)).count() == 0
