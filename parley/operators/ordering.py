@@ -63,7 +63,9 @@ def next_value(
     A slice spans ``width`` positions, so it holds at most that many rows. Only
     keys with other slices than the one from 0 on need the second step, and its
     scan is filtered on the position, which reaches the file scan. The slice
-    from 0 on takes part for keys that also have positions below 0.
+    from 0 on takes part for keys that also have positions below 0. The head of
+    a key's first slice follows no row, unless that slice is above 0: then it
+    follows the slice from 0 on, which did not take part.
     """
     inside = Window.partitionBy(key, "_slice").orderBy(position)
     rows = _sliced(df, position, width).withColumn("_inner", F.lead(value).over(inside))
@@ -75,7 +77,12 @@ def next_value(
         _sliced(df.where((at >= width) | (at < 0)).unionByName(central), position, width)
         .groupBy(key, "_slice")
         .agg(F.min_by(value, position).alias("_head"))
-        .select(key, F.coalesce(F.lag("_slice").over(across), F.lit(0)).alias("_slice"), "_head")
+        .select(
+            key,
+            F.coalesce(F.lag("_slice").over(across), F.when(F.col("_slice") > 0, F.lit(0))).alias("_slice"),
+            "_head",
+        )
+        .where(F.col("_slice").isNotNull())
     )
     return (
         rows.join(heads, [key, "_slice"], "left")

@@ -65,6 +65,16 @@ def test_positions_below_zero(spark):
             assert [after[key, p] for p in own] == [*own[1:], None]
 
 
+def test_rows_of_keys_below_zero_come_once(spark):
+    places = {"a": (-1, 0, 1, 5000), "b": (0, 1, 4096), "c": (-9, 7), "d": (5000, 9000), "e": (-5000, -1), "f": (3,)}
+    rows = [(k, p, p) for k, own in places.items() for p in own]
+    df = spark.createDataFrame(rows, "k string, p int, v int")
+    for width in (2, 100, 4096):
+        want = sorted((k, p, n) for k, own in places.items() for p, n in zip(own, [*own[1:], None], strict=True))
+        got = next_value(df, "k", "p", "v", "after", width).select("k", "p", "after").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_files_with_an_index_column_are_read_by_name(spark, tmp_path):
     for run, text in (
         ("one", ",Threshold,Precision,Recall,F1\n0,0.1,0.2,0.3,0.4\n"),
