@@ -17,8 +17,8 @@ in proportion to the members. Groups are the connected components of the links.
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; fewer words than a shingle are
 hashed as one sequence. A null id counts as the largest; its group's id is null
-only if all ids of the group are null. Rows that share an id count as one
-document in `keep_first`. Texts are read whole. Other columns are not read
+only if all ids of the group are null. `keep_first` keeps one row of each
+group, null ids and unlike texts of one id included. Texts are read whole. Other columns are not read
 (`groups`) or pass through (`keep_first`).
 """
 
@@ -151,6 +151,20 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataF
     return _pairs(members.where(F.col("n") <= dense), distance).union(_midpoint_links(crowd, distance))
 
 
+def _components(rows: DataFrame, distance: int, dense: int) -> DataFrame:
+    """Per distinct `fp` of the rows: `root`, its component, and `component`, the smallest id there."""
+    firsts = landed(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
+    roots = components(links(firsts.select("fp"), distance, dense))
+    rooted = landed(
+        firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
+            "fp", "first", F.coalesce("root", "fp").alias("root")
+        ),
+        "simhash-roots",
+    )
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    return landed(rooted.join(smallest, "root").select("fp", "root", "component"), "simhash-components")
+
+
 def groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", distance: int = DISTANCE,
     words: int = SHINGLE_WORDS, dense: int = DENSE,
@@ -163,36 +177,51 @@ def groups(
         ),
         "simhash",
     )
-    firsts = landed(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
-    roots = components(links(firsts.select("fp"), distance, dense))
-    rooted = landed(
-        firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
-            "fp", "first", F.coalesce("root", "fp").alias("root")
-        ),
-        "simhash-roots",
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = landed(rooted.join(smallest, "root").select("fp", "component"), "simhash-components")
+    named = _components(rows, distance, dense).drop("root")
     return rows.join(named, "fp").select(
         F.nullif("id", F.lit(NO_ID)).alias(key), "fp", F.nullif("component", F.lit(NO_ID)).alias("component_id")
     )
 
 
-def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group: the one with the smallest id. All columns pass through.
+def chosen_rows(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows named by (`id`, `unit`), unit being the 64 bit hash of the text; of repeated rows one.
+
+    Texts move once, by id and hash: the join and the choice share that
+    partitioning. Null ids are equal to each other and spread by their texts.
+    """
+    own = F.col(key).cast("long")
+    rows = docs.withColumns({
+        "_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(),
+        "_unit": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))),
+    })
+    named = wanted.select(
+        F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("unit").alias("_unit")
+    )
+    at = ["_id", "_none", "_unit"]
+    return rows.join(named, at, "left_semi").dropDuplicates(at).select(*[docs[c] for c in docs.columns])
+
+
+def keep_first(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", distance: int = DISTANCE,
+    words: int = SHINGLE_WORDS, dense: int = DENSE,
+) -> DataFrame:
+    """One row of each group: the one with the smallest id. All columns pass through.
 
-    Texts move once, by id: the join with the kept ids and the choice of one of
-    repeated rows share that partitioning. The one row without an id that may
-    stay is found apart.
+    Of rows of one group and id the smallest hash of the text decides, so an id
+    with unlike texts stays once in each group it is the smallest of.
     """
-    kept = landed(
-        groups(docs, key=key, text=text, **options)
-        .where(F.col(key).eqNullSafe(F.col("component_id")))
-        .select(F.col(key).alias("_kept"))
-        .distinct(),
-        "simhash-kept",
+    own = F.col(text).cast("string")
+    rows = landed(
+        docs.select(
+            F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(key).isNull().alias("none"),
+            fingerprints(own, words).alias("fp"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("unit"),
+        ),
+        "simhash",
+    )
+    smallest = F.min(F.struct("id", "none", "unit")).alias("s")
+    firsts = landed(rows.groupBy("fp").agg(smallest), "simhash-smallest")
+    rooted = firsts.join(_components(rows, distance, dense), "fp")
+    kept = rooted.groupBy("root").agg(F.min("s").alias("s")).select(
+        F.when(~F.col("s.none"), F.col("s.id")).alias("id"), "s.unit"
     )
-    named = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
-    if kept.where("_kept is null").isEmpty():
-        return named
-    return named.union(docs.where(F.col(key).isNull()).limit(1))
+    return chosen_rows(docs, landed(kept, "simhash-kept"), key=key, text=text)
