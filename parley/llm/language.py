@@ -6,6 +6,11 @@ the family every pair of languages has a linear support vector machine, and the
 language that wins most pairs is the answer (ties: the larger sum of margins,
 then the first name).
 
+Scores compare learned languages with each other only. Whether a text is in one
+of them at all is decided by `Known`: the share of the text's trigrams that the
+predicted language's sample has, against the shares of the sample's own texts
+when each is left out.
+
 The models are fitted on a bounded sample: at most `per_language` documents of
 each language (fewer if there are more than 20 languages), chosen by a hash of
 text and id; each counts whole and as three short cuts, so that short texts are
@@ -39,6 +44,12 @@ SAMPLE_VECTORS = 16_000
 CUTS = 3
 # Letters of the short cuts of a training text.
 CUT_LETTERS = (12, 40, 120)
+# Trigrams of `Known` are hashed to so many slots.
+SLOT_BITS = 16
+# A language's own texts may fall so far below the share of its least usual ones.
+SHARE_SLACK = 0.15
+# Part of the least usual texts that does not count (rows with a wrong language), and spreads allowed to a short text.
+UNUSUAL, SPREADS = 0.02, 4.0
 # Languages by family (fixed values, ISO 639-1). Others are a family of their own.
 FAMILIES = {
     "Germanic": "af da de en fy is lb nb nl nn no sv",
@@ -86,6 +97,31 @@ def vector(points: np.ndarray) -> np.ndarray:
     return counts / np.linalg.norm(counts)
 
 
+def trigrams(points: np.ndarray) -> np.ndarray:
+    """Slots of the letter trigrams of the words, one per occurrence."""
+    x = np.concatenate([[32], points, [32]]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        code = (x[:-2] * np.uint64(0x100000001B3) + x[1:-1]) * np.uint64(0x100000001B3) + x[2:]
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+@dataclass
+class Known:
+    """Per learned language: the slots its sample has, and the share of them a text must reach."""
+
+    seen: dict[str, np.ndarray]
+    least: dict[str, float]
+
+    def holds(self, points: np.ndarray, language: str) -> bool:
+        """Whether the share is reached, up to the spread that a text of this length may have, and half of it in any case."""
+        if not len(points) or language not in self.seen:
+            return False
+        slots, least = trigrams(points), self.least[language]
+        # One unseen letter is in three trigrams.
+        spread = SPREADS * np.sqrt(3.0 * least * (1.0 - least) / len(slots))
+        return bool(self.seen[language][slots].mean() >= max(least - spread, least / 2))
+
+
 @dataclass
 class LanguageModel:
     """Linear models: families (one weight row each), and one row per pair of a family."""
@@ -163,25 +199,32 @@ def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ))
 
 
-def fit(
-    docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILIES,
-) -> LanguageModel:
-    """Fit on a bounded sample of the rows where `learn` holds and the language is known."""
+def _sample(docs: DataFrame, learn: Column, text: str, lang: str, key: str, per_language: int) -> DataFrame | None:
+    """Bounded rows (text, lang, pick) where `learn` holds and the language is known; none without any."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
         F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 2).alias("pick"),
     )
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return LanguageModel([], [], np.zeros((0, FEATURES + 1)), {}, {})
+        return None
     most = max(1, min(per_language, SAMPLE_VECTORS // (1 + CUTS) // len(counts)))
     # A language's share of hashes that leaves about `most` rows; the limit makes the bound exact.
     kept = functools.reduce(
         lambda a, b: a | b,
         [(F.col("lang") == name) & (F.col("pick") <= int(min(1.0, most / n) * 2**62)) for name, n in counts.items()],
     )
-    sample = rows.where(kept).limit(2 * most * len(counts))
+    return rows.where(kept).limit(2 * most * len(counts))
+
+
+def fit(
+    docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
+    per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILIES,
+) -> LanguageModel:
+    """Fit on a bounded sample of the rows where `learn` holds and the language is known."""
+    sample = _sample(docs, learn, text, lang, key, per_language)
+    if sample is None:
+        return LanguageModel([], [], np.zeros((0, FEATURES + 1)), {}, {})
     found = sample.mapInArrow(_sample_vectors, "lang string, vector binary").collect()
     names = sorted({r["lang"] for r in found})
     if not names:
@@ -203,6 +246,61 @@ def fit(
     return LanguageModel(names, groups, weights, members, pairs)
 
 
+def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs, sets, shares = [], [], []
+        for text, lang in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            points = letters(text)
+            if not len(points):
+                continue
+            slots, times = np.unique(trigrams(points), return_counts=True)
+            langs.append(lang)
+            sets.append(slots.astype("<u2").tobytes())
+            shares.append((times / times.sum()).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_pydict({"lang": langs, "slots": sets, "shares": shares}, pa.schema(
+            [("lang", pa.string()), ("slots", pa.binary()), ("shares", pa.binary())]
+        ))
+
+
+def fit_known(
+    docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
+    per_language: int = PER_LANGUAGE,
+) -> Known:
+    """Trigrams of the sample that `fit` takes; at most 2 ** SLOT_BITS of a text reach the driver.
+
+    A text's own share is of the slots that other texts of its language have.
+    A language with one text in the sample has no such slots and admits every text.
+    """
+    sample = _sample(docs, learn, text, lang, key, per_language)
+    if sample is None:
+        return Known({}, {})
+    texts: dict[str, list] = {}
+    for r in sample.mapInArrow(_sample_slots, "lang string, slots binary, shares binary").toLocalIterator():
+        texts.setdefault(r["lang"], []).append((np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["shares"], "<f4")))
+    seen, least = {}, {}
+    for name, own in texts.items():
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for slots, _ in own:
+            counts[slots] += 1
+        usual = np.quantile([shares[counts[slots] > 1].sum() for slots, shares in own], UNUSUAL)
+        seen[name], least[name] = counts > 0, float(np.clip(usual - SHARE_SLACK, 0.0, 1.0))
+    return Known(seen, least)
+
+
+def is_known(text: Column, model: LanguageModel, known: Known) -> Column:
+    """Whether a text is in the language that the model names, and not only closest to it."""
+
+    @F.arrow_udf("boolean")
+    def in_known_language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = []
+            for at in range(0, len(batch), 512):
+                found += [known.holds(letters(t), model.predict(t)[0]) for t in batch.slice(at, 512).to_pylist()]
+            yield pa.array(found, pa.bool_())
+
+    return in_known_language(text.cast("string"))
+
+
 def predict(text: Column, model: LanguageModel) -> Column:
     """Struct of the predicted language and a score from 0 to 1."""
 

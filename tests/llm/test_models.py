@@ -6,6 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parley.llm import language, line_crf, queries
 from parley.llm.descent import minimise
 
@@ -99,6 +100,17 @@ def test_languages_of_awkward_texts(spark, small):
     assert single.predict("text") == ("en", 1.0) and single.predict("12 !") == ("und", 0.0)
 
 
+def test_texts_of_no_learned_language_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(2)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40))
+    odd = ["Быстрая лиса прыгает через ленивую собаку", "我们今天去公园散步", noise, "12 !", None]
+    rows = spark.createDataFrame([(10**6 + i, t, "en", "src0", 0) for i, t in enumerate(odd)], docs.schema)
+    for own in (docs, docs.where("lang in ('en', 'fr')")):
+        kept = corpus_pipeline.identify_language(spark, own.union(rows.withColumn("lang", F.lit(None))), sf)
+        assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in own.collect()}
+
+
 def test_the_sample_is_bounded(spark, small):
     many = small.where("doc_id = 1").select("text", "lang", F.explode(F.sequence(F.lit(1), F.lit(3_000))).alias("doc_id"))
     model = language.fit(many, F.lit(True), per_language=5)
