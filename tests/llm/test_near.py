@@ -10,7 +10,7 @@ import xxhash
 from plain import words
 from pyspark.sql import functions as F
 
-from parley.llm import oph, queries, simhash, topk
+from parley.llm import near_copies, oph, queries, simhash, topk
 from parley.llm.components import components
 
 
@@ -90,6 +90,38 @@ def test_awkward_documents_have_groups(spark, small):
     assert simhash.groups(small.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("one_of_each", [simhash.keep_first, near_copies.drop])
+def test_each_group_keeps_one_row(spark, one_of_each):
+    rows = [
+        (None, "a b c d e f g"), (None, "p q r s t u v"), (None, "a b c d e f g"), (1, "h i j k l m"), (1, "n o p q r s"),
+        (1, "h i j k l m"), (2, "n o p q r s"), (3, None), (4, " "), (None, "h i j k l m"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, one_of_each(df).collect()), key=str)
+    want = [(None, "a b c d e f g"), (None, "p q r s t u v"), (1, "h i j k l m"), (1, "n o p q r s"), (3, None)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("dense", [64, 1])
+def test_near_copies_equal_brute_force(spark, dense):
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(40, 200))]
+        for _ in range(8):
+            at = rnd.randrange(len(base))
+            cut = rnd.randrange(len(base) // 6)
+            texts.append(" ".join(base[:at] + [f"x{rnd.randrange(10**6)}"] + base[at + cut :]))
+    root = list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if likeness(texts[a], texts[b]) >= 0.8]
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 8 < len(set(root)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.drop(df, dense=dense).collect()} == set(root)
+
+
 def test_long_chains_become_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
