@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, language, line_crf, mixing, oph, perspectives, revisits, simhash, token_files, topk
+from parley.llm import bpe, compression, language, line_crf, merkle, mixing, oph, perspectives, revisits, simhash, token_files, topk, whitening
 from parley.llm.captures import CAPTURES_SQL, captures
 from parley.llm.shared import id_remainder, table
 from parley.session import work_path
@@ -96,6 +96,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", compression.measures(F.col("text").cast("string")).alias("m")
+    )
+    failed = compression.base_failed(F.col("m"))
+    return rows.select(
+        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+        failed.alias("base_failed"), (~failed & compression.within_bands(F.col("m"))).alias("kept"),
+        "m.ratio", "m.odd_share",
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = {"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))}
+    tree = merkle.build(table(spark, sf_dir, "documents"), tampered=flat, tampered_where=id_remainder("doc_id", 2) == 0)
+    return merkle.verified(tree).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_line_crf_quality": op1_line_crf_quality,
     "op2_exact_topk": op2_exact_topk,
@@ -107,6 +129,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_revisits": op9_revisits,
     "op10_bpe": op10_bpe,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_compression_bands": op12_compression_bands,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 OP2_SQL = """
 with usable as (
@@ -191,8 +216,65 @@ select record_id, canonical_url, ts, status, response_id,
 from judged
 """
 
+_FIELD = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+# Whether the last bit of the crc32 of an id's digits is 0 (null: no).
+_TAMPERED = """list_reduce(list_prepend(cast(4294967295 as bigint),
+    list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda crc, byte:
+  list_reduce(list_prepend(xor(crc, byte), [cast(i as bigint) for i in range(8)]), lambda c, i:
+    case when c % 2 = 1 then xor(c // 2, cast(3988292384 as bigint)) else c // 2 end)) % 2 = 1"""
+
+OP13_SQL = f"""
+with recursive rows as (
+  select row_number() over (partition by source order by doc_id nulls first, {_LEAF.format(text="text")}) - 1 as idx,
+    count(*) over (partition by source) as n, dense_rank() over (order by source nulls first) - 1 as tree,
+    doc_id, {_LEAF.format(text="text")} as leaf,
+    case when {_TAMPERED} then {_LEAF.format(text="replace(text, chr(10), '')")} else {_LEAF.format(text="text")} end as climbs
+  from documents
+), lower as (
+  select tree, cast(0 as bigint) as level, idx, n, leaf as hash from rows
+  union all
+  select tree, level + 1, idx // 3, max((n + 2) // 3), sha256(string_agg(hash, '' order by idx))
+  from lower where n > 1 group by tree, level, idx // 3
+), subroots as (
+  select tree, hash, count(*) over () as n from lower where n = 1
+), upper as (
+  select cast(0 as bigint) as level, cast(tree as bigint) as idx, n, hash from subroots
+  union all
+  select level + 1, idx // 3, max((n + 2) // 3), sha256(string_agg(hash, '' order by idx))
+  from upper where n > 1 group by level, idx // 3
+), runs as (
+  select tree, level, idx // 3 as run, list(hash order by idx) as own from lower where n > 1 group by all
+), over_runs as (
+  select level, idx // 3 as run, list(hash order by idx) as own from upper where n > 1 group by all
+), low_climb as (
+  select tree, idx as row, idx, cast(0 as bigint) as level, climbs as hash, '' as proof from rows
+  union all
+  select c.tree, c.row, c.idx // 3, c.level + 1,
+    sha256(array_to_string(list_concat(r.own[:c.idx % 3], [c.hash], r.own[c.idx % 3 + 2:]), '')),
+    c.proof || array_to_string(list_concat(r.own[:c.idx % 3], r.own[c.idx % 3 + 2:]), '')
+  from low_climb c join runs r on r.tree = c.tree and r.level = c.level and r.run = c.idx // 3
+), at_subroot as (
+  select * from low_climb qualify row_number() over (partition by tree, row order by level desc) = 1
+), high_climb as (
+  select tree, row, cast(tree as bigint) as idx, cast(0 as bigint) as level, hash, proof from at_subroot
+  union all
+  select c.tree, c.row, c.idx // 3, c.level + 1,
+    sha256(array_to_string(list_concat(r.own[:c.idx % 3], [c.hash], r.own[c.idx % 3 + 2:]), '')),
+    c.proof || array_to_string(list_concat(r.own[:c.idx % 3], r.own[c.idx % 3 + 2:]), '')
+  from high_climb c join over_runs r on r.level = c.level and r.run = c.idx // 3
+), at_root as (
+  select * from high_climb qualify row_number() over (partition by tree, row order by level desc) = 1
+)
+select r.doc_id, r.leaf, s.hash as subroot, u.hash as root, sha256(a.proof) as proof_sha256, a.hash as folded_root,
+  a.hash = u.hash as verified
+from rows r join subroots s on s.tree = r.tree join at_root a on a.tree = r.tree and a.row = r.idx
+join upper u on u.n = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op2_exact_topk": OP2_SQL,
     "op6_perspectives": OP6_SQL,
     "op9_revisits": OP9_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
