@@ -29,3 +29,17 @@ def cut_sql(column: str, n: int) -> str:
         f"case when length({text}) <= {n} then {text} "
         f"else rtrim(substr({text},1,{n}), {BLANKS_SQL}) end"
     )
+
+
+# Places of comments in their threads, for the view ``threads``: paths of ids from the start, in order.
+THREAD_PLACES = {
+    "paths": """select * from (with recursive walk as (
+  select conv_id, message_id, coalesce('1' || reply_to, '0') || '/' || message_id as path from threads t
+  where reply_to is null or not exists (
+    select 1 from threads p where p.conv_id = t.conv_id and p.message_id = t.reply_to)
+  union all
+  select t.conv_id, t.message_id, w.path || '/' || t.message_id
+  from threads t join walk w on t.conv_id = w.conv_id and t.reply_to = w.message_id
+) select * from walk)""",
+    "places": """select conv_id, message_id, row_number() over (partition by conv_id order by path) as place from paths""",
+}

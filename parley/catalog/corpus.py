@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import views as V
-from parley.catalog.common import r6, rounded
+from parley.catalog.common import THREAD_PLACES, r6, rounded
 from parley.functions.hashing import poisson_one_cdf
 from parley.operators import corpus as C
 from parley.operators import statistics as S
 from parley.operators.ordering import exact_percentile
 from parley.operators.tables import experiment_matrix, id_union, in_category_order, in_order
+from parley.operators.threads import with_place
 from parley.plans import exploration
 from parley.schemas import FACILITATIVE_TACTICS, TACTIC_POLARITY
 
@@ -158,6 +159,11 @@ def chunks_of_six(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunks(V.comments(spark, sf))
 
 
+def chunks_by_thread(spark: SparkSession, sf: str) -> DataFrame:
+    placed = with_place(V.threads(spark, sf))
+    return C.chunks(placed, position="place").withColumnRenamed("first_turn", "first_place")
+
+
 def chunks_with_rest(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunks(V.comments(spark, sf), size=3, complete_only=False)
 
@@ -229,6 +235,7 @@ QUERIES = {
     "percentile_values": percentile_values,
     "corpus_stats": corpus_stats,
     "chunks_of_six": chunks_of_six,
+    "chunks_by_thread": chunks_by_thread,
     "chunks_with_rest": chunks_with_rest,
     "facilitative_candidates": facilitative_candidates,
     "capped_sources": capped_sources,
@@ -416,6 +423,16 @@ from comments group by dataset""",
   as chunk from comments"""
         },
     ),
+    "chunks_by_thread": V.with_views(
+        """select conv_id, chunk, min(place) as first_place, count(*) as n_comments,
+  string_agg(text, chr(10) order by place) as discussion from n group by conv_id, chunk having count(*) = 6""",
+        "threads",
+        extra={
+            **THREAD_PLACES,
+            "n": """select t.conv_id, t.text, p.place, cast((p.place - 1) // 6 as bigint) as chunk
+  from threads t join places p on p.conv_id = t.conv_id and p.message_id = t.message_id""",
+        },
+    ),
     "chunks_with_rest": V.with_views(
         """select conv_id, chunk, min(turn) as first_turn, count(*) as n_comments,
   string_agg(text, chr(10) order by turn) as discussion from n group by conv_id, chunk""",

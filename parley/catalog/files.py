@@ -28,6 +28,9 @@ CORPUS = T.StructType(
     ]
 )
 
+# Bytes of a range of the single corpus file, so that even a small one is read in several tasks.
+ONE_FILE_SPLIT = 1 << 19
+
 
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path, landed = work_path(spark, "corpus-csv"), work_path(spark, "corpus")
@@ -36,6 +39,15 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(landed)
 
 
+def csv_single_file(spark: SparkSession, sf: str) -> DataFrame:
+    """One CSV file with line breaks, quotes and empty lines in its texts, read in many tasks."""
+    path = f"{work_path(spark, 'corpus-file')}/corpus.csv"
+    text = F.concat_ws("\n", "text", F.lit('she said "no",'), F.lit(""), "message_id")
+    rows = V.comments(spark, sf).withColumnRenamed("user_name", "user").withColumn("text", text)
+    sinks.write_csv(rows.coalesce(1), path)
+    return readers.read_corpus(spark, path, CORPUS, split_bytes=ONE_FILE_SPLIT)
+
+
 def split_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "splits")
     split = plan.splits(V.labelled(spark, sf), "should_intervene")
@@ -151,6 +163,7 @@ def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "csv_round_trip": csv_round_trip,
+    "csv_single_file": csv_single_file,
     "split_round_trip": split_round_trip,
     "lookup_scan": lookup_scan,
     "human_scan": human_scan,
@@ -177,6 +190,11 @@ def _oracles() -> dict[str, str]:
 from comments""",
             "comments",
         ),
+        "csv_single_file": V.with_views(
+            """select conv_id, message_id, reply_to, user_name as user, is_moderator,
+  concat(text, chr(10), 'she said "no",', chr(10), chr(10), message_id) as text, dataset from comments""",
+            "comments",
+        ),
         "split_round_trip": V.with_views(
             """select message_id, dataset, text from split
 where split = 'test' and dataset in ('ds0','ds1','ds2')""",

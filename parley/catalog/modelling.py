@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import views as V
-from parley.catalog.common import cut_sql, r6
+from parley.catalog.common import THREAD_PLACES, cut_sql, r6
 from parley.functions.text import redact_prompt
 from parley.operators import sampling
 from parley.operators.batches import length_batches
 from parley.operators.corpus import label_columns
-from parley.operators.context import ancestors, reply_depth, with_context, with_context_length
+from parley.operators.context import (
+    ancestors,
+    intervention_by_reply,
+    reply_depth,
+    with_context,
+    with_context_length,
+)
 from parley.operators.metrics import class_ratio
 from parley.operators.scoring import (
     batch_score,
@@ -21,6 +27,7 @@ from parley.operators.scoring import (
     score_rows,
     train_head,
 )
+from parley.operators.threads import thread_places
 from parley.plans import modelling as plan
 from parley.session import work_path
 from parley.sources.readers import read_split
@@ -62,6 +69,14 @@ def reply_position(spark: SparkSession, sf: str) -> DataFrame:
     return reply_depth(V.comments(spark, sf))
 
 
+def thread_order(spark: SparkSession, sf: str) -> DataFrame:
+    return thread_places(V.threads(spark, sf))
+
+
+def reply_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return intervention_by_reply(V.threads(spark, sf)).select("message_id", "conv_id", "turn", "should_intervene")
+
+
 def intervention_label(spark: SparkSession, sf: str) -> DataFrame:
     return V.labelled(spark, sf).select("message_id", "conv_id", "turn", "should_intervene")
 
@@ -197,6 +212,8 @@ QUERIES = {
     "context_length": context_length,
     "reply_chain": reply_chain,
     "reply_position": reply_position,
+    "thread_order": thread_order,
+    "intervention_by_reply": reply_labels,
     "intervention_label": intervention_label,
     "label_projection": label_projection,
     "class_ratio": class_weights,
@@ -324,6 +341,15 @@ join comments q on p.reply_to = q.message_id where q.reply_to is not null""",
 ) select * from chain)""",
         "comments",
     ),
+    "thread_order": V.with_views(
+        "select conv_id, message_id, place from places", "threads", extra=THREAD_PLACES
+    ),
+    "intervention_by_reply": V.with_views(
+        """select message_id, conv_id, turn, case when is_moderator then cast(null as double)
+  when exists (select 1 from threads m where m.is_moderator and m.conv_id = t.conv_id and m.reply_to = t.message_id)
+  then 1.0E0 else 0.0E0 end as should_intervene from threads t""",
+        "threads",
+    ),
     "intervention_label": V.with_views(
         "select message_id, conv_id, turn, should_intervene from labelled", "labelled"
     ),

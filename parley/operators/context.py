@@ -189,3 +189,24 @@ def intervention_label(
         .otherwise(0.0)
     )
     return labelled.withColumn("should_intervene", label).drop("_next")
+
+
+def intervention_by_reply(
+    comments: DataFrame, key: str = "conv_id", message: str = "message_id", parent: str = "reply_to"
+) -> DataFrame:
+    """Add ``should_intervene`` without turns: 1 on a comment that a moderator's comment replies to.
+
+    Missing on the moderator's own comments, which are no candidates. A reply
+    counts in its own discussion only. Answered ids are made distinct before
+    anything moves, so a much answered comment is one row.
+    """
+    answered = (
+        comments.where(F.col("is_moderator") & F.col(parent).isNotNull())
+        .select(F.col(key).alias("_conv"), F.col(parent).alias("_answered"))
+        .distinct()
+    )
+    same = F.col(key).eqNullSafe(F.col("_conv")) & (F.col(message) == F.col("_answered"))
+    label = (
+        F.when(F.col("is_moderator"), F.lit(None).cast("double")).when(F.col("_answered").isNotNull(), 1.0).otherwise(0.0)
+    )
+    return comments.join(answered, same, "left").withColumn("should_intervene", label).drop("_conv", "_answered")

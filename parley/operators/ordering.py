@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.session import landed
+
 SLICE_ROWS = 4096
 PREFIX_DIGITS = 3
 # Above this k Spark no longer limits groups before the shuffle.
@@ -117,6 +119,27 @@ def position_in_key(
     )
 
 
+def sequence(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
+    """Place of every row in one order over the whole table, from 0, landed in the shared folder.
+
+    Range partitions in order, and the rows before each: the only window goes
+    over one row per partition, and nothing is gathered. Ties are in any order.
+    """
+    placed = (
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    )
+    rows = landed(placed, "sequence")
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    # One row per partition of the table.
+    found = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return found.withColumn(out, place).drop("_part", "_before", "_at")
+
+
 def global_rank(
     df: DataFrame, digest: str, tie: str, out: str, major: str | None = None,
     digits: int = PREFIX_DIGITS,

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from parley.functions.parsing import parse_dual, parse_single, rating_prefix
 from parley.operators.ordering import keep_first
 from parley.schemas import COMMENT, CONVERSATION_LOOKUP, SCALES
+from parley.sources import split_csv
 
 # Quotes are doubled inside fields and fields may hold line breaks.
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -94,20 +95,23 @@ def _read_group(
     return raw.select(*[_typed(field) for field in schema], "_metadata")
 
 
-def _typed(field: T.StructField) -> Column:
-    cell = F.col(f"`{field.name}`")
+def _typed(field: T.StructField, cell: Column | None = None) -> Column:
+    cell = F.col(f"`{field.name}`") if cell is None else cell
     if isinstance(field.dataType, T.BooleanType):
         # True / False or 1.0 / 0.0.
         return F.coalesce(cell.try_cast("boolean"), cell.cast("double") != 0).alias(field.name)
     return cell.cast(field.dataType).alias(field.name)
 
 
-def read_corpus(spark: SparkSession, path: str, schema: T.StructType = COMMENT) -> DataFrame:
-    """The comment corpus from CSV. Land it as Parquet once (``land_corpus``).
+def read_corpus(
+    spark: SparkSession, path: str, schema: T.StructType = COMMENT, split_bytes: int | None = None
+) -> DataFrame:
+    """The comment corpus from CSV, in as many tasks as its bytes ask for, whatever the number of files.
 
-    A CSV with line breaks inside fields cannot be split: one task per file.
+    Fields may hold line breaks (see `split_csv`). The rows are parsed once and
+    landed below the shared folder; ``land_corpus`` copies them to a place of one's own.
     """
-    return read_csv(spark, path, schema).drop("_metadata")
+    return split_csv.read(spark, path, schema, _typed, split_bytes)
 
 
 def read_split(

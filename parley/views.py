@@ -45,6 +45,17 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments with branching replies: several starts, much answered comments, unknown parents."""
+    conv, turn = F.col("conv_id").cast("long"), F.col("turn")
+    parent = (
+        F.when((turn == 0) | (turn % 11 == 10), F.lit(None).cast("string"))
+        .when(turn % 13 == 12, F.concat(F.lit("x"), (conv % 3).cast("string")))
+        .otherwise((conv * 1000 + conv % F.nullif(turn, F.lit(0))).cast("string"))
+    )
+    return comments(spark, sf_dir).withColumn("reply_to", parent)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervention_label(comments(spark, sf_dir))
 
@@ -163,6 +174,11 @@ select cast(conv_id as string) as conv_id, turn,
        text,
        concat('ds',cast(conv_id % 6 as string)) as dataset
 from conversations""",
+    "threads": """
+select * replace (case when turn = 0 or turn % 11 = 10 then null
+  when turn % 13 = 12 then 'x' || cast(cast(conv_id as bigint) % 3 as string)
+  else cast(cast(conv_id as bigint) * 1000 + cast(conv_id as bigint) % nullif(turn, 0) as string) end as reply_to)
+from comments""",
     "labelled": """
 select *, case when is_moderator then cast(null as double)
   when coalesce(lead(is_moderator) over (partition by conv_id order by turn), false) then 1.0E0
@@ -204,6 +220,7 @@ from ratings where not is_human""",
 
 _NEEDS = {
     "comments": (),
+    "threads": ("comments",),
     "labelled": ("comments",),
     "responses": ("comments", "labelled"),
     "scored": ("comments",),
