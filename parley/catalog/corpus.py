@@ -10,7 +10,7 @@ from parley.catalog.common import THREAD_PLACES, r6, rounded
 from parley.functions.hashing import poisson_one_cdf
 from parley.operators import corpus as C
 from parley.operators import statistics as S
-from parley.operators.ordering import exact_percentile
+from parley.operators.selection import exact_percentile
 from parley.operators.tables import experiment_matrix, id_union, in_category_order, in_order
 from parley.operators.threads import with_place
 from parley.plans import exploration

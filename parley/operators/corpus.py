@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import null_as_word
-from parley.operators.ordering import exact_percentile, position_in_key
+from parley.operators.ordering import position_in_key
 from parley.operators.sampling import cap_per_key
+from parley.operators.selection import exact_percentile
 from parley.schemas import DATASETS, MERGED_SOURCES, TACTIC_POLARITY, TRAINING_GROUPS
 
 

@@ -9,6 +9,7 @@ only one row per slice across them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SLICE_ROWS = 4096
 PREFIX_DIGITS = 3
 # Above this k Spark no longer limits groups before the shuffle.
 GROUP_LIMIT = 1000
+# Groups of which a row each is sent to every executor; more are joined by a shuffle.
+MANY_GROUPS = 100_000
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -34,22 +37,18 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def first_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str | None = None
 ) -> DataFrame:
-    """The first k rows of every key; ``rank`` keeps their position as a column."""
+    """The first k rows of every key; ``rank`` keeps their position as a column.
+
+    Up to ``GROUP_LIMIT`` Spark limits groups before the shuffle; above, the table
+    is put in one order by ranges. ``selection.first_in_order`` needs neither
+    for orders by a digest.
+    """
     name = rank or "_rank"
-    ranked = df
     if k > GROUP_LIMIT:
-        # Limit inside slices of the key first; k rows per slice remain. The
-        # slice is the input partition, so copies of one row spread as well and
-        # a repeated task puts its rows into the same slice again.
-        salt = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        ranked = (
-            df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-            .withColumn(name, F.row_number().over(salt))
-            .where(F.col(name) <= k)
-            .drop("_salt", name)
-        )
+        ranked = _first_by_ranges(df, keys, order, k, name)
+        return ranked if rank else ranked.drop(name)
     window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = ranked.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
     return ranked if rank else ranked.drop(name)
 
 
@@ -125,10 +124,15 @@ def sequence(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFram
     Range partitions in order, and the rows before each: the only window goes
     over one row per partition, and nothing is gathered. Ties are in any order.
     """
+    # Equal rows spread by where they come from.
+    full = [*order, "_tie"]
     placed = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*full)
+        .sortWithinPartitions(*full)
+        .withColumn("_at", F.monotonically_increasing_id())
     )
-    rows = landed(placed, "sequence")
+    rows = landed(placed.drop("_tie"), "sequence")
     part = F.shiftright("_at", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).select(
@@ -140,6 +144,21 @@ def sequence(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFram
     return found.withColumn(out, place).drop("_part", "_before", "_at")
 
 
+def same_group(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+    """Equal groups, nulls included; `b` names them `_of_<name>`."""
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[f"_of_{n}"]) for n in names])
+
+
+def _first_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str) -> DataFrame:
+    placed = sequence(df, [*keys, *order], "_place")
+    starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
+    other = starts.select(*[F.col(g).alias(f"_of_{g}") for g in keys], "_start")
+    other = F.broadcast(other) if starts.count() <= MANY_GROUPS else other
+    own = (F.col("_place") - F.col("_start") + 1).cast("int")
+    ranked = placed.join(other, same_group(placed, other, keys)).withColumn(rank, own)
+    return ranked.where(F.col(rank) <= k).select(*df.columns, rank)
+
+
 def global_rank(
     df: DataFrame, digest: str, tie: str, out: str, major: str | None = None,
     digits: int = PREFIX_DIGITS,
@@ -172,45 +191,3 @@ def global_rank(
         .withColumn(out, (F.col("_before") + F.col("_inner")).cast("long"))
         .drop("_slice", "_inner", "_before")
     )
-
-
-def exact_percentile(df: DataFrame, value: str, p: float, accuracy: int = 10000) -> Column:
-    """Exact linearly interpolated percentile, as a scalar subquery.
-
-    The built-in exact aggregate keeps every distinct value in one task. Here a
-    sketch with a proven rank error brackets the wanted ranks; only counts of
-    the values inside the bracket, a few ten-thousandths of the ranks, are put
-    in order.
-    """
-    slack = 3.0 / accuracy
-    rows = df.select(F.col(value).cast("double").alias("v")).dropna()
-    low = F.percentile_approx("v", F.lit(max(p - slack, 0.0)), F.lit(accuracy))
-    high = F.percentile_approx("v", F.lit(min(p + slack, 1.0)), F.lit(accuracy))
-    bracket = rows.agg(
-        F.struct(
-            (F.min("v") if p - slack <= 0 else low).alias("low"),
-            (F.max("v") if p + slack >= 1 else high).alias("high"),
-            F.count(F.lit(1)).alias("n"),
-        ).alias("b")
-    ).select("b").scalar()
-    place = F.when(F.col("v") < F.col("b.low"), -1).when(F.col("v") > F.col("b.high"), 1).otherwise(0)
-    # Values on either side of the bracket share one row: their count, and the
-    # value next to the bracket for ranks that fall just outside it.
-    counts = (
-        rows.withColumn("b", bracket)
-        .withColumn("side", place)
-        .groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("inner"), F.col("b.n").alias("n"))
-        .agg(
-            F.count(F.lit(1)).alias("c"),
-            F.when(F.col("side") < 0, F.max("v")).otherwise(F.min("v")).alias("v"),
-        )
-    )
-    upto = F.sum("c").over(Window.orderBy("side", "inner"))
-    ranked = counts.withColumn("upto", upto).withColumn("t", F.lit(p) * (F.col("n") - 1))
-    at_floor = F.min(F.when(F.col("upto") > F.floor("t"), F.col("v")))
-    at_ceil = F.min(F.when(F.col("upto") > F.ceil("t"), F.col("v")))
-    return (
-        ranked.agg(at_floor.alias("a"), at_ceil.alias("b"), F.max("t").alias("t"))
-        .select(F.col("a") + (F.col("b") - F.col("a")) * (F.col("t") - F.floor("t")))
-        .scalar()
-    )

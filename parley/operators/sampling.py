@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from parley.functions.hashing import hash_order, hash_uniform
 from parley.operators.context import SMALL_TARGETS, with_context
-from parley.operators.ordering import PREFIX_DIGITS, first_k
-from parley.session import checkpointed
+from parley.operators.ordering import PREFIX_DIGITS
+from parley.operators.selection import first_in_order
+from parley.session import checkpointed, landed
 
 SEED = 42
 
@@ -109,13 +110,16 @@ def balanced_ids(
         raise ValueError("the sample size must be positive")
     groups = df.select(key).distinct().count()
     quota = n // max(groups, 1)
-    keyed = df.select(id_col, key, hash_order(seed, F.col(id_col)).alias("_digest"))
-    first = keyed.orderBy("_digest", id_col).limit(n).withColumn("origin", F.lit("top_up"))
+    keyed = landed(df.select(id_col, key, hash_order(seed, F.col(id_col)).alias("_order")), "sample-keys")
+    digest = F.col("_order")
+    first = first_in_order(keyed, [], digest, id_col, n).withColumn("origin", F.lit("top_up"))
     if quota == 0:
         return first.select(id_col, "origin")
-    even = first_k(keyed, [key], ["_digest", id_col], quota).withColumn("origin", F.lit("quota"))
-    pool = even.unionByName(first).groupBy(id_col, "_digest").agg(F.min("origin").alias("origin"))
-    return pool.orderBy("origin", "_digest", id_col).limit(n).select(id_col, "origin")
+    even = first_in_order(keyed, [key], digest, id_col, quota).withColumn("origin", F.lit("quota"))
+    pool = landed(even.unionByName(first).groupBy(id_col, "_order").agg(F.min("origin").alias("origin")), "sample-pool")
+    # Rows of a quota come before all others.
+    ordered = F.concat(F.when(F.col("origin") == "quota", "0").otherwise("1"), digest)
+    return first_in_order(pool, [], ordered, id_col, n).select(id_col, "origin")
 
 
 def balanced_subset(
@@ -147,6 +151,4 @@ def cap_per_key(
     df: DataFrame, key: str, cap: int = 2000, id_col: str = "message_id", seed: int = SEED
 ) -> DataFrame:
     """At most ``cap`` rows per key, in hash order."""
-    digest = hash_order(seed, F.col(id_col))
-    ranked = df.withColumn("_digest", digest)
-    return first_k(ranked, [key], ["_digest", id_col], cap).drop("_digest")
+    return first_in_order(df, [key], hash_order(seed, F.col(id_col)), id_col, cap)

@@ -24,6 +24,7 @@ from parley.operators.context import (
     with_context,
     with_context_length,
 )
+from parley.operators.selection import exact_percentile
 from parley.operators.phrases import document_phrases, frequent_phrases, tfidf
 
 COMMENT = "message_id string, reply_to string, text string"
@@ -131,14 +132,14 @@ def test_exact_percentile(spark, p, n):
     rows = [(random.choice([0.0, 0.5, random.random()]),) for _ in range(n)]
     table = spark.createDataFrame(rows, "x double")
     want = table.agg(F.percentile("x", F.lit(p))).first()[0]
-    got = spark.range(1).select(O.exact_percentile(table, "x", p)).first()[0]
+    got = spark.range(1).select(exact_percentile(table, "x", p)).first()[0]
     assert got == pytest.approx(want, abs=1e-12)
 
 
 def test_exact_percentile_with_a_coarse_sketch(spark):
     table = spark.range(5000).select((F.pmod(F.hash("id"), F.lit(1999)) / 7.0).alias("x"))
     want = table.agg(F.percentile("x", F.lit(0.6))).first()[0]
-    got = spark.range(1).select(O.exact_percentile(table, "x", 0.6, accuracy=50)).first()[0]
+    got = spark.range(1).select(exact_percentile(table, "x", 0.6, accuracy=50)).first()[0]
     assert got == pytest.approx(want, abs=1e-12)
 
 
