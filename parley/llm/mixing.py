@@ -224,7 +224,8 @@ def mixed_texts(
     """The mix as documents: for every epoch that takes from a document, a row with what it takes.
 
     All columns pass through; the text is the whole text if the epoch takes all
-    of it, else the taken words joined by blanks, and `n_chars` its length.
+    of it, else the taken words joined by blanks, and `n_chars` its length. Of rows
+    that share id, source and text, which count as one, any one's other columns are kept.
     """
     same = _same_source(plan.pieces, plan.slots) & (plan.pieces["block"] == plan.slots["block"])
     parts = plan.pieces.join(plan.slots, same).select(
@@ -236,14 +237,16 @@ def mixed_texts(
         (F.sum("n_words") == F.col("size")).alias("_mix_whole"),
     )
     drawn = drawn.select(F.struct("id", "source", "text_hash").alias("_mix_at"), "_mix_parts", "_mix_whole")
-    body = F.col(text).cast("string")
     # Texts move once, by this key: repeated rows and the join share the partitioning. Nulls in it are equal.
     at = F.struct(
         F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"),
-        F.xxhash64(body).alias("text_hash"),
+        F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     ).cast(drawn.schema["_mix_at"].dataType)
-    texts = docs.withColumn("_mix_key", at).repartition("_mix_key").dropDuplicates(["_mix_key"])
+    # The row travels as one struct, so that no name of its columns can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    texts = docs.select(row.alias("row"), at.alias("_mix_key")).repartition("_mix_key").dropDuplicates(["_mix_key"])
     rows = texts.join(drawn, F.col("_mix_key") == F.col("_mix_at"))
+    body = F.col("row").getField(text).cast("string")
     chosen = let(
         words(body),
         lambda all_words: F.array_join(
@@ -256,7 +259,8 @@ def mixed_texts(
             " ",
         ),
     )
-    rows = rows.withColumn(text, F.when(F.col("_mix_whole"), body).otherwise(chosen))
+    rows = rows.select("row", F.when(F.col("_mix_whole"), body).otherwise(chosen).alias("taken"))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {text: F.col("taken")}
     if n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return rows.select(docs.columns)
+        own[n_chars] = F.char_length("taken").cast(docs.schema[n_chars].dataType)
+    return rows.select(*[value.alias(c) for c, value in own.items()])

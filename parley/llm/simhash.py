@@ -190,15 +190,14 @@ def chosen_rows(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text
     partitioning. Null ids are equal to each other and spread by their texts.
     """
     own = F.col(key).cast("long")
-    rows = docs.withColumns({
-        "_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(),
-        "_unit": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))),
-    })
-    named = wanted.select(
-        F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("unit").alias("_unit")
+    # The row travels as one struct, so that no name of its columns can clash.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(own, F.lit(0)).alias("id"),
+        own.isNull().alias("none"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("unit"),
     )
-    at = ["_id", "_none", "_unit"]
-    return rows.join(named, at, "left_semi").dropDuplicates(at).select(*[docs[c] for c in docs.columns])
+    named = wanted.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "unit")
+    at = ["id", "none", "unit"]
+    return rows.join(named, at, "left_semi").dropDuplicates(at).select("row.*")
 
 
 def keep_first(

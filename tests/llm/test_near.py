@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from plain import words
+from plain import near_roots, shingle_set, words
 from pyspark.sql import functions as F
 
 from parley.llm import near_copies, oph, queries, simhash, topk
@@ -102,8 +102,15 @@ def test_each_group_keeps_one_row(spark, one_of_each):
     assert got == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("dense", [64, 1])
-def test_near_copies_equal_brute_force(spark, dense):
+def variants(rnd, base, edits):
+    """A text with single words replaced."""
+    words = list(base)
+    for at in rnd.sample(range(len(base)), edits):
+        words[at] = f"x{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_equal_brute_force(spark):
     rnd = random.Random(5)
     texts = []
     for _ in range(8):
@@ -112,14 +119,53 @@ def test_near_copies_equal_brute_force(spark, dense):
             at = rnd.randrange(len(base))
             cut = rnd.randrange(len(base) // 6)
             texts.append(" ".join(base[:at] + [f"x{rnd.randrange(10**6)}"] + base[at + cut :]))
-    root = list(range(len(texts)))
-    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if likeness(texts[a], texts[b]) >= 0.8]
-    for _ in texts:
-        for a, b in pairs:
-            root[a] = root[b] = min(root[a], root[b])
+    root = near_roots(texts)
     assert 8 < len(set(root)) < len(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in near_copies.drop(df, dense=dense).collect()} == set(root)
+    assert {r["doc_id"] for r in near_copies.drop(df).collect()} == set(root)
+
+
+# Edits of 160 words: similarity to the base about 0.88, 0.82, 0.77, 0.70.
+@pytest.mark.parametrize("edits", [2, 3, 4, 6, "mixed"])
+def test_large_groups_equal_brute_force_with_few_pairs(spark, monkeypatch, edits):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
+    n = 240
+    texts = [" ".join(base)] + [variants(rnd, base, rnd.choice([1, 2, 3, 4, 6, 9]) if edits == "mixed" else edits) for _ in range(n)]
+    read = []
+    plain = near_copies._alike
+
+    def watched(pairs, sets, similarity):
+        read.append(pairs.count())
+        return plain(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "_alike", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.drop(df).collect()} == set(near_roots(texts))
+    # Sets are read for a few pairs a text, not for all pairs of the group.
+    assert sum(read) < 12 * n
+
+
+def test_bitmaps_never_drop_a_link():
+    rnd = random.Random(2)
+    for size in (3, 40, 400, 4_000):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        one, two = " ".join(base), variants(rnd, base, min(size, rnd.randrange(1, 9)))
+        (_, bits_a, n_a), (_, bits_b, n_b) = near_copies.sketch(one), near_copies.sketch(two)
+        differ = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in zip(bits_a, bits_b))
+        a, b = shingle_set(one), shingle_set(two)
+        assert (n_a, n_b) == (len(a), len(b)) and differ <= len(a ^ b)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["doc_id", "text", "_id", "_none", "_unit", "id", "none", "unit", "row", "keys", "set", "a"]
+    df = spark.createDataFrame([(1, "a b c d e f", *range(10)), (2, "a b c d e f", *range(10)), (3, "other", *range(10))],
+                               ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in names))
+    for one_of_each in (simhash.keep_first, near_copies.drop):
+        got = one_of_each(df)
+        assert got.columns == names
+        assert sorted(tuple(r)[0] for r in got.collect()) == [1, 3]
+        assert {tuple(r)[2:] for r in got.collect()} == {tuple(range(10))}
 
 
 def test_long_chains_become_one_component(spark):

@@ -5,11 +5,11 @@ from fractions import Fraction
 import duckdb
 import pytest
 from oracle import compare, connect
-from plain import words
+from plain import near_roots, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parley.llm import mixing, perspectives, queries, revisits, simhash
+from parley.llm import mixing, perspectives, queries, revisits
 from parley.llm.shared import bucket_of, id_slicer, landed, order_buckets
 
 
@@ -210,8 +210,9 @@ def test_pipeline_stages(spark, sf):
             wrong = [d for d, q in labels.items() if (d in ids) != (q == 1)]
             assert len(wrong) <= 0.05 * len(labels)
         if name == "near_duplicates":
-            groups = simhash.groups(docs).collect()
-            assert ids == {r["component_id"] for r in groups}
+            rows = sorted(docs.select("doc_id", "text").collect())
+            roots = near_roots([r["text"] or "" for r in rows])
+            assert ids == {rows[i]["doc_id"] for i in set(roots)}
         docs = kept
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
