@@ -10,7 +10,8 @@ Defined cases: a null or empty text, and a text of white space, have no ids and
 decode to an empty string; a null id array decodes to an empty string. The
 spelling of a special token inside a text is that token. Texts are read whole.
 Rows may repeat; other columns pass through, a column named like the output is
-replaced. An id outside the vocabulary fails the job.
+replaced. An id outside the vocabulary fails the job, and so does a file of another kind
+(another normaliser, splitter or decoder than `vocabulary` reads).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.llm.vocabulary import ChunkEncoder, read_vocabulary
+from parley.llm.vocabulary import ChunkEncoder, check_supported, read_vocabulary
 
 # Rows of a batch that are Python objects at once.
 SLICE_ROWS = 512
@@ -36,6 +37,7 @@ class HeapBpe:
     """Ids of pieces, and strings of ids, for one vocabulary file."""
 
     def __init__(self, path: str):
+        check_supported(path)
         vocab, merges, self.suffix, special = read_vocabulary(path)
         self.ids = vocab
         strings = {i: s for s, i in vocab.items()} | special

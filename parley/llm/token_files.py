@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import files, perfect_hash
 from parley.llm.shared import id_slicer
-from parley.llm.vocabulary import ChunkEncoder, byte_letters
+from parley.llm.vocabulary import ChunkEncoder
 
 ROWS_PER_SHARD = 8_192
 KEYS_PER_BUCKET = 65_536

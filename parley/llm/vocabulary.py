@@ -2,44 +2,63 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Callable
 
 # Pieces of ASCII text, as the vocabulary file's own pattern finds them (fixed value).
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-# Entries of a cache's newer half: they bound memory and change speed, never ids.
-PIECE_ENTRIES, CHUNK_ENTRIES = 250_000, 60_000
-
-
-@functools.lru_cache(1)
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: printable bytes for themselves, others from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {b: chr(b) for b in printable}
-    rest = (b for b in range(256) if b not in letters)
-    return letters | {b: chr(256 + n) for n, b in enumerate(rest)}
+# What this module takes for granted of a file (fixed values): white space is dropped, so no id crosses it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+# Bytes of a cache's newer half, with what an entry costs beside its characters and ids: they bound
+# memory and change speed, never ids. Longer chunks and pieces are not cached.
+PIECE_BYTES, CHUNK_BYTES, ENTRY_BYTES = 24_000_000, 72_000_000, 180
+CACHED_CHARS = 64
 
 
 class Cache(dict):
     """A dict that computes what it lacks; when it is full, what was not used since goes."""
 
-    def __init__(self, compute: Callable[[str], bytes], entries: int):
+    def __init__(self, compute: Callable[[str], bytes], size: int):
         super().__init__()
-        self.compute, self.entries, self.older = compute, entries, {}
+        self.compute, self.size, self.held, self.older = compute, size, 0, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > CACHED_CHARS:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.entries:
-            self.older = dict(self)
+        if self.held >= self.size:
+            self.older, self.held = dict(self), 0
             self.clear()
+        self.held += ENTRY_BYTES + len(key) + len(value)
         self[key] = value
         return value
 
 
+def check_supported(path: str) -> None:
+    """Raise for a vocabulary file whose texts fall into pieces, or are put together, in another way."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model = content["model"]
+    steps = (content.get("normalizer") or {}).get("normalizers") or []
+    splits = (content.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    unwanted = ("byte_fallback", "ignore_merges", "continuing_subword_prefix", "dropout", "unk_token")
+    same = {
+        "model": model.get("type") == "BPE" and not any(model.get(name) for name in unwanted),
+        "normalizer": [x.get("type") for x in steps] == NORMALIZERS,
+        "pre_tokenizer": [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": PATTERN} and not splits[1]["add_prefix_space"],
+        "decoder": content.get("decoder") is None,
+        "added_tokens": not any(t[name] for t in content["added_tokens"] for name in ("single_word", "lstrip", "rstrip")),
+    }
+    other = [name for name, found in same.items() if not found]
+    if other:
+        raise ValueError(f"a vocabulary file of another kind: {', '.join(other)}")
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk: a chunk lies between blanks or line feeds.
 
@@ -52,14 +71,15 @@ class ChunkEncoder:
     def __init__(self, path: str, encode_piece: Callable[[str], bytes], id_bytes: int = 4):
         from tokenizers import Tokenizer
 
+        check_supported(path)
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.special = {name: i.to_bytes(id_bytes, "little") for name, i in special.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.pieces = Cache(encode_piece, PIECE_ENTRIES)
-        self.chunks = Cache(self.encode_chunk, CHUNK_ENTRIES)
+        self.pieces = Cache(encode_piece, PIECE_BYTES)
+        self.chunks = Cache(self.encode_chunk, CHUNK_BYTES)
 
     def encode_chunk(self, chunk: str) -> bytes:
         if self.marks is not None and "<|" in chunk:

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parley.llm import bpe, perfect_hash, token_files
+from parley.llm import bpe, perfect_hash, token_files, vocabulary
 from parley.llm.queries import op3_token_files, op10_bpe, vocabulary_path
 from parley.llm.vocabulary import Cache
 
@@ -115,3 +116,18 @@ def test_queries_equal_the_library(spark, sf, library):
     assert got == set(shards_by_hand(docs.items(), library))
     counts = {r["doc_id"]: r["n_tokens"] for r in op10_bpe(spark, sf).collect()}
     assert counts == {d: len(library.encode(t or "", add_special_tokens=False).ids) for d, t in docs.items()}
+
+
+def test_files_of_another_kind_are_refused():
+    for build in (bpe.HeapBpe, lambda path: token_files._library_encoder(path, 4)):
+        with pytest.raises(ValueError, match="another kind"):
+            build(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_caches_are_bounded_and_change_nothing():
+    calls = []
+    cache = vocabulary.Cache(lambda key: calls.append(key) or key.encode(), 4_000)
+    keys = [f"k{i % 50}" for i in range(500)] + ["x" * 1_000] * 3
+    assert [cache[k] for k in keys] == [k.encode() for k in keys]
+    assert len(cache) + len(cache.older) < 60 and calls.count("x" * 1_000) == 3
+    assert all(len(k) <= vocabulary.CACHED_CHARS for k in [*cache, *cache.older])
