@@ -13,7 +13,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 # Bytes of a cache's newer half, with what an entry costs beside its characters and ids: they bound
 # memory and change speed, never ids. Longer chunks and pieces are not cached.
-PIECE_BYTES, CHUNK_BYTES, ENTRY_BYTES = 24_000_000, 72_000_000, 180
+PIECE_BYTES, CHUNK_BYTES, ENTRY_BYTES = 48_000_000, 12_000_000, 180
 CACHED_CHARS = 64
 
 
