@@ -19,16 +19,17 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.llm.vocabulary import ChunkEncoder, check_supported, read_vocabulary
+from parley.llm.vocabulary import ChunkEncoder, check_supported, read_vocabulary, texts_of
 
-# Rows of a batch that are Python objects at once.
-SLICE_ROWS = 512
+# Rows of a batch that leave Python at once.
+ROWS_OUT = 512
 # Bits for a position in a heap entry, and for an id in a pair key.
 POSITION_BITS, ID_BITS = 40, 24
 
@@ -105,20 +106,15 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path, _vocabulary(path).encode_piece)
 
 
-def _slices(batches: Iterator[pa.Array]) -> Iterator[list]:
-    for batch in batches:
-        for at in range(0, len(batch), SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS).to_pylist()
-
-
 def encode(text: Column, path: str) -> Column:
     """Ids of whole texts as little-endian unsigned 32 bit numbers (binary)."""
 
     @F.arrow_udf("binary")
     def heap_bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path)
-        for texts in _slices(batches):
-            yield pa.array([encoder.encode(t) for t in texts], pa.binary())
+        for batch in batches:
+            for ids in batched(encoder.encode_all(texts_of(batch)), ROWS_OUT):
+                yield pa.array(ids, pa.binary())
 
     return heap_bpe_encode(text)
 
@@ -129,8 +125,9 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = _vocabulary(path)
-        for rows in _slices(batches):
-            yield pa.array([decoder.decode(x) for x in rows], pa.string())
+        for batch in batches:
+            for rows in batched(texts_of(batch), ROWS_OUT):
+                yield pa.array([decoder.decode(x) for x in rows], pa.string())
 
     return bpe_decode(ids)
 
@@ -141,10 +138,10 @@ def round_trip(text: Column, path: str) -> Column:
     @F.arrow_udf("ids binary, decoded string")
     def heap_bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decoder = _encoder(path), _vocabulary(path)
-        for texts in _slices(batches):
-            ids = [encoder.encode(t) for t in texts]
-            decoded = pa.array([decoder.decode(x) for x in ids], pa.string())
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+        for batch in batches:
+            for ids in batched(encoder.encode_all(texts_of(batch)), ROWS_OUT):
+                decoded = pa.array([decoder.decode(x) for x in ids], pa.string())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
 
     return heap_bpe_round_trip(text)
 

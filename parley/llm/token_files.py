@@ -28,6 +28,7 @@ import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -37,14 +38,14 @@ from pyspark.sql import functions as F
 
 from parley.llm import files, perfect_hash
 from parley.llm.shared import id_slicer
-from parley.llm.vocabulary import ChunkEncoder
+from parley.llm.vocabulary import ChunkEncoder, texts_of
 
 ROWS_PER_SHARD = 8_192
 KEYS_PER_BUCKET = 65_536
 # Partitions per shard, so that few shards share one.
 SPREAD = 3
-# Rows of a batch that are Python objects at once.
-SLICE_ROWS = 512
+# Rows of a batch that leave Python at once.
+ROWS_OUT = 512
 # Stands for a null key inside the index; a key of this very value counts as null.
 NULL_KEY = -(1 << 63)
 
@@ -65,10 +66,9 @@ class TokenFiles:
 def _library_encoder(path: str, id_bytes: int) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
-    tokenize, kind = Tokenizer.from_file(path).model.tokenize, f"<u{id_bytes}"
-    return ChunkEncoder(
-        path, lambda piece: np.array([t.id for t in tokenize(piece)], kind).tobytes(), id_bytes
-    )
+    library = Tokenizer.from_file(path)
+    tokenize, written = library.model.tokenize, [i.to_bytes(id_bytes, "little") for i in range(library.get_vocab_size())]
+    return ChunkEncoder(path, lambda piece: b"".join([written[t.id] for t in tokenize(piece)]), id_bytes)
 
 
 def id_width(path: str) -> int:
@@ -85,9 +85,8 @@ def library_ids(text: Column, path: str, end_id: int, id_bytes: int) -> Column:
     def library_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _library_encoder(path, id_bytes)
         for batch in batches:
-            for at in range(0, len(batch), SLICE_ROWS):
-                texts = batch.slice(at, SLICE_ROWS).to_pylist()
-                yield pa.array([encoder.encode(t) + end for t in texts], pa.binary())
+            for some in batched(encoder.encode_all(texts_of(batch)), ROWS_OUT):
+                yield pa.array([ids + end for ids in some], pa.binary())
 
     return library_encode(text)
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Pieces of ASCII text, as the vocabulary file's own pattern finds them (fixed value).
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -12,9 +16,11 @@ ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+",
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 # Bytes of a cache's newer half, with what an entry costs beside its characters and ids: they bound
-# memory and change speed, never ids. Longer chunks and pieces are not cached.
-PIECE_BYTES, CHUNK_BYTES, ENTRY_BYTES = 48_000_000, 12_000_000, 180
+# memory and change speed, never ids. Longer pieces are not cached.
+PIECE_BYTES, ENTRY_BYTES = 64_000_000, 180
 CACHED_CHARS = 64
+# Characters of text whose chunks are gathered at once: bounds memory, never changes ids.
+SLICE_CHARS = 16_000_000
 
 
 class Cache(dict):
@@ -63,9 +69,10 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk: a chunk lies between blanks or line feeds.
 
     No piece of this kind of vocabulary (white space dropped, pieces split at
-    it) crosses a blank, so the ids of a text are those of its chunks in order,
-    and each different chunk is encoded once per cache. `encode_piece` gives
-    the ids, as bytes, of one piece written in byte letters.
+    it) crosses a blank, so the ids of a text are those of its chunks in order.
+    Each different chunk of a slice of texts is encoded once; ids of the texts
+    are then gathered from those. `encode_piece` gives the ids, as bytes, of one
+    piece written in byte letters.
     """
 
     def __init__(self, path: str, encode_piece: Callable[[str], bytes], id_bytes: int = 4):
@@ -78,8 +85,8 @@ class ChunkEncoder:
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.special = {name: i.to_bytes(id_bytes, "little") for name, i in special.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.id_type = np.dtype(f"<u{id_bytes}")
         self.pieces = Cache(encode_piece, PIECE_BYTES)
-        self.chunks = Cache(self.encode_chunk, CHUNK_BYTES)
 
     def encode_chunk(self, chunk: str) -> bytes:
         if self.marks is not None and "<|" in chunk:
@@ -95,9 +102,68 @@ class ChunkEncoder:
         return b"".join([self.pieces[piece] for piece, _ in found])
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(self._gathered([x for _, x in _parts([text], SLICE_CHARS)]))
+
+    def encode_all(self, texts: Iterable[str | None], slice_chars: int = SLICE_CHARS) -> Iterator[bytes]:
+        """Ids of each text in turn. Every different chunk of a slice of texts is encoded once."""
+        waiting, numbers, size, open_parts, done = [], [], 0, [], -1
+
+        def flush() -> Iterator[bytes]:
+            nonlocal open_parts, done
+            for number, ids in zip(numbers, self._gathered(waiting), strict=True):
+                if number > done >= 0:
+                    yield b"".join(open_parts)
+                    open_parts = []
+                done = number
+                open_parts.append(ids)
+
+        for number, part in _parts(texts, slice_chars):
+            waiting.append(part)
+            numbers.append(number)
+            size += len(part)
+            if size >= slice_chars:
+                yield from flush()
+                waiting, numbers, size = [], [], 0
+        yield from flush()
+        if done >= 0:
+            yield b"".join(open_parts)
+
+    def _gathered(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: its chunks as numbers into the distinct ones, whose ids are put end to end."""
+        plain = pc.replace_substring(pa.array(parts, pa.large_string()), "\n", " ")
+        split = pc.split_pattern(plain, " ")
+        coded = split.values.dictionary_encode()
+        encoded = [self.encode_chunk(chunk) for chunk in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // self.id_type.itemsize
+        ids = np.frombuffer(b"".join(encoded), self.id_type)
+        chunk = coded.indices.to_numpy()
+        counts = sizes[chunk]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # The id at place t of chunk c lies at (first id of its distinct chunk) + t.
+        at = np.repeat((np.cumsum(sizes) - sizes)[chunk] - ends[:-1], counts)
+        at += np.arange(ends[-1])
+        out, bounds = ids[at], ends[split.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _parts(texts: Iterable[str | None], most: int) -> Iterator[tuple[int, str]]:
+    """Number and text of each text's parts: one, or for long texts several, cut at blanks."""
+    for number, text in enumerate(texts):
+        rest = text or ""
+        at = 0
+        while len(rest) - at > most:
+            cut = rest.find(" ", at + most)
+            if cut < 0:
+                break
+            yield number, rest[at:cut]
+            at = cut + 1
+        yield number, rest[at:]
+
+
+def texts_of(batch: pa.Array, rows: int = 512) -> Iterator[str | None]:
+    """The texts of a batch, of which only some are Python objects at once."""
+    for at in range(0, len(batch), rows):
+        yield from batch.slice(at, rows).to_pylist()
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, int], list, str, dict[int, str]]:

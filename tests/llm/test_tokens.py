@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -131,3 +132,13 @@ def test_caches_are_bounded_and_change_nothing():
     assert [cache[k] for k in keys] == [k.encode() for k in keys]
     assert len(cache) + len(cache.older) < 60 and calls.count("x" * 1_000) == 3
     assert all(len(k) <= vocabulary.CACHED_CHARS for k in [*cache, *cache.older])
+
+
+def test_slices_of_texts_change_no_ids(library):
+    texts = ["one two  three\n\nfour", None, "", " ", "long " * 400, "x" * 900, "Überall <|endoftext|>é ñ", "one two"] * 3
+    expected = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = vocabulary.ChunkEncoder(PATH, bpe.HeapBpe(PATH).encode_piece)
+    for size in (1, 7, 100, 1_000_000):
+        assert list(encoder.encode_all(texts, size)) == expected
+    assert list(encoder.encode_all([])) == [] and [encoder.encode(t) for t in texts] == expected
+    assert list(vocabulary.texts_of(pa.array(texts), 5)) == texts
