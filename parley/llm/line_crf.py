@@ -8,9 +8,11 @@ document's quality is their mean weighted by line length, turned into a
 probability by a one-dimensional logistic fit on the training documents.
 
 The field is fitted on a bounded sample: at most `per_class` documents of each
-label, in the order of a hash of their id, and of these at most `sample_lines`
-lines each (their lines carry the document's label). The sample's features are
-made on the executors; scoring reads every line of every text.
+label, in the order of a hash of their id, and of each at most `sample_lines`
+lines, in runs of neighbouring lines that a hash chooses over the whole text
+(lines carry the document's label, runs are chains of their own). The sample's
+features are made on the executors. The logistic fit and scoring read every
+line of every text they use.
 
 Defined cases: a null text counts as empty; an empty text is one empty line.
 Without labelled documents of both kinds every score is 1. Labels other than 0
@@ -21,7 +23,8 @@ Rows may repeat; other columns are not read or pass through.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -34,6 +37,7 @@ from parley.llm.descent import minimise
 
 PER_CLASS = 1_000
 SAMPLE_LINES = 200
+RUN_LINES = 20
 GOOD_FROM = 0.3
 SLICE_ROWS = 256
 # Kinds of bytes counted in a line, each with its characters (fixed values).
@@ -156,16 +160,22 @@ def _chains(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at, lengths
 
 
-def fit_field(x: list[np.ndarray], y: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and label pairs of the largest penalised likelihood, classes weighted alike.
+def field_loss(
+    x: list[np.ndarray], y: np.ndarray, doc: np.ndarray | None = None, penalty: float = 1e-3
+) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Penalised negative log likelihood of chains of lines, and its gradient, classes weighted alike.
 
-    All lines of a document carry its label. The passes run over all documents
-    at once, line number by line number.
+    `y` holds the label of each chain's document, `doc` its number (default: a
+    chain is a document). All lines of a document carry its label. The passes
+    run over all chains at once, line number by line number.
     """
     lines = np.vstack(x)
     at, lengths = _chains(x)
     of = np.repeat(np.arange(len(x)), lengths)
-    share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) / np.sqrt(lengths)
+    doc = np.arange(len(x)) if doc is None else doc
+    per_doc = np.bincount(doc, weights=lengths)[doc]
+    docs_of = {label: max(len(np.unique(doc[y == label])), 1) for label in (0, 1)}
+    share = np.where(y == 1, 0.5 / docs_of[1], 0.5 / docs_of[0]) / np.sqrt(per_doc)
     width = lines.shape[1]
 
     def loss(flat: np.ndarray):
@@ -207,7 +217,13 @@ def fit_field(x: list[np.ndarray], y: np.ndarray, penalty: float = 1e-3) -> tupl
         pull = share[of] * (line_good - y[of])
         return value, np.concatenate([pull @ lines, slope_pairs.ravel()]) + penalty * flat
 
-    found = minimise(loss, np.zeros(width + 4), rounds=80)
+    return loss
+
+
+def fit_field(x: list[np.ndarray], y: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and label pairs of the largest penalised likelihood."""
+    width = x[0].shape[1]
+    found = minimise(field_loss(x, y, doc), np.zeros(width + 4), rounds=80)
     return found[:width], found[width:].reshape(2, 2)
 
 
@@ -223,32 +239,55 @@ def _fit_logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return max(float(slope), 0.05), float(shift)
 
 
-def _sample_features(lines: int):
+def chosen_runs(text: str | None, n_lines: int, most: int) -> list[tuple[int, int]]:
+    """First and end line of the runs to learn from: all, or runs a hash chooses over the whole text."""
+    if n_lines <= most:
+        return [(0, n_lines)]
+    size = min(RUN_LINES, most)
+    seed = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+    starts = sorted(range(0, n_lines, size), key=lambda at: (zlib.crc32(at.to_bytes(8, "little"), seed), at))
+    return [(at, min(at + size, n_lines)) for at in sorted(starts[: most // size])]
+
+
+def _sample_features(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, lengths = line_features(text)
-                x = with_neighbours(own)[:lines].astype("<f4")
-                rows.append((quality, len(x), x.tobytes(), lengths[:lines].astype("<i8").tobytes()))
-            names = ("quality", "n", "x", "lengths")
+                own = with_neighbours(line_features(text)[0])
+                runs = chosen_runs(text, len(own), most)
+                x = np.vstack([own[a:b] for a, b in runs]).astype("<f4")
+                rows.append((quality, [b - a for a, b in runs], x.tobytes()))
+            names = ("quality", "runs", "x")
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, pa.schema(
-                [("quality", pa.int32()), ("n", pa.int32()), ("x", pa.binary()), ("lengths", pa.binary())]
+                [("quality", pa.int32()), ("runs", pa.list_(pa.int32())), ("x", pa.binary())]
             ))
 
     return run
 
 
+def _raw(text: Column, model: LineModel) -> Column:
+    @F.arrow_udf("double")
+    def line_field_raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE_ROWS):
+                yield pa.array([model.raw(t) for t in batch.slice(at, SLICE_ROWS).to_pylist()], pa.float64())
+
+    return line_field_raw(text)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text",
     quality: str = "quality", per_class: int = PER_CLASS, sample_lines: int = SAMPLE_LINES,
 ) -> LineModel:
     """Fit on a bounded sample of the labelled documents whose id satisfies `learn`."""
+    texts = docs.select(F.col(key).alias("_of"), F.col(text).cast("string").alias("text"))
     known = (
         labels.where(learn & F.col(key).isNotNull() & F.col(quality).isin(0, 1))
         .groupBy(F.col(key).alias("_id"))
         .agg(F.min(quality).cast("int").alias("quality"), F.max(quality).alias("_most"))
         .where(F.col("quality") == F.col("_most"))
+        .join(texts.select(F.col("_of").alias("_id")), "_id", "left_semi")
     )
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
@@ -259,25 +298,25 @@ def fit(
         for label in (0, 1)
     ]
     # At most 2 * per_class ids of a few bytes: safe to broadcast.
-    texts = docs.select(F.col(key).alias("_of"), F.col(text).cast("string").alias("text"))
     sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("_of") == F.col("_id")).select(
         "text", "quality"
     ).limit(4 * per_class)
-    rows = sample.mapInArrow(_sample_features(sample_lines), "quality int, n int, x binary, lengths binary").collect()
-    y = np.array([r["quality"] for r in rows], int)
-    if len(set(y.tolist())) < 2:
+    rows = sample.mapInArrow(_sample_features(sample_lines), "quality int, runs array<int>, x binary").collect()
+    if len({r["quality"] for r in rows}) < 2:
         return constant_model()
-    x = [np.frombuffer(r["x"], "<f4").reshape(r["n"], -1).astype(float) for r in rows]
-    everything = np.vstack(x)
+    everything = np.vstack([np.frombuffer(r["x"], "<f4").reshape(sum(r["runs"]), -1) for r in rows]).astype(float)
     centre, scale = everything.mean(axis=0), everything.std(axis=0)
     scale[scale < 1e-6] = 1.0
     centre[-1] = 0.0
-    x = [(rows - centre) / scale for rows in x]
-    weights, pairs = fit_field(x, y)
-    raw = np.array([
-        _log_odds(float(np.average(marginals((d @ weights).tolist(), pairs), weights=np.frombuffer(r["lengths"], "<i8") + 1)))
-        for d, r in zip(x, rows, strict=True)
-    ])
+    everything = (everything - centre) / scale
+    chains = np.split(everything, np.cumsum([n for r in rows for n in r["runs"]])[:-1])
+    doc = np.repeat(np.arange(len(rows)), [len(r["runs"]) for r in rows])
+    weights, pairs = fit_field(chains, np.array([r["quality"] for r in rows], int)[doc], doc)
+    # Whole texts, as scoring reads them; a sample's row is one number here.
+    model = LineModel(centre, scale, weights, pairs)
+    whole = sample.select("quality", _raw(F.col("text"), model).alias("raw")).collect()
+    y = np.array([r["quality"] for r in whole], int)
+    raw = np.array([r["raw"] for r in whole])
     # The sample holds the classes in equal numbers; weights restore their shares among the labels.
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     slope, shift = _fit_logistic(raw, y, weight / weight.sum())

@@ -42,6 +42,27 @@ def test_the_field_learns_from_whole_documents():
     assert np.mean((np.array(scores) > 0.5) == (y == 1)) > 0.9
 
 
+
+def test_gradient_of_the_field_is_that_of_its_loss():
+    rnd = np.random.default_rng(4)
+    x = [rnd.normal(size=(n, 3)) for n in (1, 4, 2, 5, 3)]
+    for doc in (None, np.array([0, 1, 1, 2, 2])):
+        loss = line_crf.field_loss(x, np.array([0, 1, 1, 0, 0]), doc)
+        at = rnd.normal(size=7)
+        value, slope = loss(at)
+        steps = np.eye(7) * 1e-6
+        numeric = [(loss(at + d)[0] - loss(at - d)[0]) / 2e-6 for d in steps]
+        assert np.isfinite(value) and np.allclose(slope, numeric, atol=1e-6)
+
+
+def test_lines_to_learn_from_lie_over_the_whole_text():
+    text = "\n".join(f"line {i}" for i in range(10_000))
+    runs = line_crf.chosen_runs(text, 10_000, 200)
+    assert len(runs) == 10 and all(b - a == 20 for a, b in runs) and runs == sorted(set(runs))
+    assert runs[-1][0] > 5_000 and runs == line_crf.chosen_runs(text, 10_000, 200)
+    assert line_crf.chosen_runs(None, 1, 200) == [(0, 1)] and line_crf.chosen_runs(text, 9, 4) != []
+
+
 def test_minimiser_finds_the_minimum_of_a_quadratic():
     a = np.diag([1.0, 10.0, 0.1])
     b = np.array([1.0, -2.0, 3.0])
