@@ -1,9 +1,10 @@
 """Agreement between raters from counts of equal rating vectors.
 
-Every item becomes one fixed-length vector per scale, with a seat per rater of
-the panel. Items with equal vectors are counted together before any pair is
-formed. All statistics are moments of these counts, so nothing grows with the
-number of items after the first aggregation.
+Every item becomes one vector per scale: its ratings by seat, a seat per rater of
+the panel, empty seats left out. Items with equal vectors are counted together
+before any pair is formed. All statistics are moments of these counts, so
+nothing grows with the number of items after the first aggregation. A panel may
+have any size; a row of a long vector pairs two blocks of seats at a time.
 """
 
 from __future__ import annotations
@@ -18,34 +19,39 @@ from parley.functions.parsing import zero_as_missing
 from parley.operators.ratings import ITEM, PASS, RATER
 from parley.schemas import SCALES
 
-MAX_PANEL = 200
+# Seats of a block; two blocks are paired in one row.
+BLOCK = 64
 
 
 def rating_vectors(
     ratings: DataFrame, panel: Sequence[str], scales: Sequence[str] = SCALES, order: str = PASS
 ) -> DataFrame:
-    """(scale, vector, n_items): how many items got exactly these ratings.
+    """(scale, vector, n_items): how many items got exactly these ratings, (seat, value) by seat.
 
     A seat holds the rater's first rating, so repeated rows cannot enlarge an
-    item. Blank ratings (0) are missing.
+    item. Blank ratings (0) are missing. Raters outside the panel take no part.
     """
-    if len(panel) > MAX_PANEL:
-        raise ValueError(f"panel has more than {MAX_PANEL} raters")
-    seats = {
-        s: [
-            F.min_by(
-                zero_as_missing(F.col(s).cast("int")), F.when(F.col(RATER) == r, F.col(order))
-            ).alias(f"_{s}_{i}")
-            for i, r in enumerate(panel)
-        ]
-        for s in scales
-    }
-    items = ratings.groupBy(ITEM).agg(*[seat for s in scales for seat in seats[s]])
+    seat = F.array_position(F.array(*[F.lit(r) for r in panel]), F.col(RATER)) - 1
+    firsts = (
+        ratings.withColumn("_seat", seat.cast("int"))
+        .where("_seat >= 0")
+        .groupBy(ITEM, "_seat")
+        .agg(*[F.min_by(zero_as_missing(F.col(s).cast("int")), F.col(order)).alias(f"_{s}") for s in scales])
+    )
+    # At most one entry per rater of the panel.
+    items = firsts.groupBy(ITEM).agg(
+        F.sort_array(F.collect_list(F.struct("_seat", *[f"_{s}" for s in scales]))).alias("_seats")
+    )
+
+    def rated(scale: str) -> Column:
+        given = F.filter("_seats", lambda e: e[f"_{scale}"].isNotNull())
+        return F.transform(given, lambda e: F.struct(e["_seat"].alias("seat"), e[f"_{scale}"].alias("value")))
+
     rows = F.array(
         *[
             F.struct(
                 F.lit(s).alias("scale"),
-                F.array(*[F.col(f"_{s}_{i}") for i in range(len(panel))]).alias("vector"),
+                rated(s).alias("vector"),
             )
             for s in scales
         ]
@@ -60,26 +66,32 @@ def rating_vectors(
 def pair_contingency(vectors: DataFrame, panel: Sequence[str]) -> DataFrame:
     """Items by the two ratings of every rater pair.
 
-    Seats are paired per distinct vector, weighted by its item count: at most
-    len(panel) * (len(panel) - 1) / 2 rows each, summed on the map side.
+    Seats are paired per distinct vector, weighted by its item count, and
+    summed on the map side. A row holds the pairs of two blocks of seats.
     """
-    last = len(panel) - 1
-    seat_pairs = F.flatten(
+    size = F.size("vector")
+    first = vectors.where(size >= 2).select(
+        "*", F.explode(F.sequence(F.lit(1), size, F.lit(BLOCK))).alias("_at")
+    )
+    blocks = first.select(
+        "scale", "n_items", "vector", F.slice("vector", F.col("_at"), F.lit(BLOCK)).alias("_a"),
+        F.explode(F.sequence(F.col("_at"), size, F.lit(BLOCK))).alias("_to"),
+    ).select("scale", "n_items", "_a", F.slice("vector", F.col("_to"), F.lit(BLOCK)).alias("_b"))
+    both = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.lit(last - 1)),
-            lambda i: F.transform(
-                F.sequence(i + 1, F.lit(last)),
-                lambda j: F.struct(
-                    i.alias("i"), j.alias("j"),
-                    F.get("vector", i).alias("value_1"), F.get("vector", j).alias("value_2"),
+            "_a",
+            lambda x: F.transform(
+                F.filter("_b", lambda y: y["seat"] > x["seat"]),
+                lambda y: F.struct(
+                    x["seat"].alias("i"), y["seat"].alias("j"),
+                    x["value"].alias("value_1"), y["value"].alias("value_2"),
                 ),
             ),
         )
     )
-    both = F.filter(seat_pairs, lambda p: p["value_1"].isNotNull() & p["value_2"].isNotNull())
     name = F.array(*[F.lit(r) for r in panel])
     return (
-        vectors.select("scale", "n_items", F.inline(both))
+        blocks.select("scale", "n_items", F.inline(both))
         .groupBy("scale", "i", "j", "value_1", "value_2")
         .agg(F.sum("n_items").alias("n"))
         .select(
@@ -150,12 +162,16 @@ def pair_agreement(contingency: DataFrame, min_items: int = 2) -> DataFrame:
 
 
 def _group_rows(groups: Mapping[str, Sequence[str]], panel: Sequence[str]) -> Column:
-    """The named rater groups with the seats of their members."""
+    """The named rater groups, their members, and by seat whether it is a member's."""
+    unknown = {r for members in groups.values() for r in members} - set(panel)
+    if unknown:
+        raise ValueError(f"raters outside the panel: {sorted(unknown)}")
     return F.array(
         *[
             F.struct(
                 F.lit(name).alias("rater_group"),
-                F.array(*[F.lit(panel.index(r)) for r in members]).alias("seats"),
+                F.array(*[F.lit(r) for r in members]).alias("members"),
+                F.array(*[F.lit(r in members) for r in panel]).alias("inside"),
             )
             for name, members in groups.items()
             if len(members) >= 2
@@ -176,8 +192,8 @@ def ordinal_alpha(
         vectors.select("scale", "vector", "n_items", F.inline(_group_rows(groups, panel)))
         .withColumn(
             "values",
-            F.filter(
-                F.transform("seats", lambda s: F.get("vector", s)), lambda v: v.isNotNull()
+            F.transform(
+                F.filter("vector", lambda e: F.get("inside", e["seat"])), lambda e: e["value"]
             ),
         )
         .where(F.size("values") >= 2)
@@ -232,11 +248,8 @@ def agreement_summary(
     panel: Sequence[str],
 ) -> DataFrame:
     """Mean pair statistics (missing ones skipped), alpha and mean n per group."""
-    seat = F.array(*[F.lit(r) for r in panel])
-
     def inside(rater: str) -> Column:
-        place = (F.array_position(seat, F.col(rater)) - 1).cast("int")
-        return F.array_contains(F.col("seats"), place)
+        return F.array_contains("members", F.col(rater))
 
     means = (
         pairs.select("*", F.inline(_group_rows(groups, panel)))

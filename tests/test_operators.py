@@ -332,6 +332,23 @@ def test_identical_raters_agree_fully(spark):
     assert [row["pearson_r"], row["spearman_rho"], row["weighted_kappa"]] == pytest.approx([1, 1, 1])
 
 
+def test_a_panel_of_a_thousand_raters(spark):
+    # Every rater judges items 0 and 1, the even ones item 2; rater 7 alone disagrees.
+    raters = [f"r{i:04d}" for i in range(1_000)]
+    rows = [[1, 4 if i != 7 else 2, 5 if i % 2 == 0 else None] for i in range(1_000)]
+    v = vectors(spark, rows, raters).cache()
+    assert v.count() == 3 and max(r["n"] for r in v.selectExpr("size(vector) as n").collect()) == 1_000
+    cells = A.pair_contingency(v, raters).cache()
+    assert cells.agg(F.sum("n")).first()[0] == 2 * (1_000 * 999 // 2) + 500 * 499 // 2
+    assert cells.where("rater_1 >= rater_2").count() == 0
+    assert cells.where("value_1 <> value_2").agg(F.sum("n")).first()[0] == 999
+    two = {"pair": [raters[0], raters[7]], "all": raters}
+    alphas = {r["rater_group"]: r["krippendorff_alpha"] for r in A.ordinal_alpha(v, raters, two).collect()}
+    few = vectors(spark, [rows[0], rows[7]], [raters[0], raters[7]])
+    alone = A.ordinal_alpha(few, [raters[0], raters[7]], {"pair": [raters[0], raters[7]]}).first()
+    assert alphas["pair"] == pytest.approx(alone["krippendorff_alpha"]) and 0.9 < alphas["all"] < 1
+
+
 def test_constant_rater_has_no_correlation(spark):
     raters = ["a", "b"]
     v = vectors(spark, [[2, 2, 2], [1, 3, 2]], raters)
