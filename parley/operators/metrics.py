@@ -119,9 +119,11 @@ def threshold_sweep(
     label: str = "label",
     thresholds: Sequence[float] = THRESHOLDS,
     keys: Sequence[str] = (),
+    digits: int | None = None,
 ) -> DataFrame:
     """Precision, recall and F1 at every threshold, from one pass.
 
+    `digits` rounds the three (4 gives the published curves); the default keeps them whole.
     Rows are grouped by the number of thresholds their score reaches, compared
     directly; only those few groups are then spread over the thresholds.
     """
@@ -149,15 +151,18 @@ def threshold_sweep(
             F.sum("_pos").alias("_all_pos"),
         )
     )
-    zero = F.lit(0.0)
+
+    def share(part: Column, whole: Column) -> Column:
+        value = F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+        return value if digits is None else F.round(value, digits)
+
+    tp, predicted, positives = F.col("tp"), F.col("predicted"), F.col("_all_pos")
     return counts.select(
         *keys,
         "threshold",
-        F.coalesce(F.try_divide("tp", "predicted"), zero).alias("precision"),
-        F.coalesce(F.try_divide("tp", "_all_pos"), zero).alias("recall"),
-        F.coalesce(
-            F.try_divide(2 * F.col("tp"), F.col("predicted") + F.col("_all_pos")), zero
-        ).alias("f1"),
+        share(tp, predicted).alias("precision"),
+        share(tp, positives).alias("recall"),
+        share(2 * tp, predicted + positives).alias("f1"),
         "predicted",
         "tp",
     )

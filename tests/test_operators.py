@@ -332,6 +332,14 @@ def test_identical_raters_agree_fully(spark):
     assert [row["pearson_r"], row["spearman_rho"], row["weighted_kappa"]] == pytest.approx([1, 1, 1])
 
 
+def test_sweep_rounds_when_asked(spark):
+    rows = spark.createDataFrame([(0.9, 1), (0.9, 0), (0.9, 0), (0.1, 1)], "score double, label int")
+    whole = M.threshold_sweep(rows, thresholds=[0.5]).first()
+    short = M.threshold_sweep(rows, thresholds=[0.5], digits=4).first()
+    assert (short["precision"], short["recall"], short["f1"]) == (0.3333, 0.5, 0.4)
+    assert whole["precision"] == 1 / 3
+
+
 def test_a_panel_of_a_thousand_raters(spark):
     # Every rater judges items 0 and 1, the even ones item 2; rater 7 alone disagrees.
     raters = [f"r{i:04d}" for i in range(1_000)]
