@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley import views as V
 from parley.catalog.common import THREAD_PLACES, r6, rounded
-from parley.functions.hashing import poisson_one_cdf
+from parley.functions.hashing import ATTEMPTS, SMALL_MEAN, poisson_limits
 from parley.operators import corpus as C
 from parley.operators import statistics as S
 from parley.operators.selection import exact_percentile
@@ -295,7 +295,7 @@ qualify row_number() over (partition by source order by md5('42|'||message_id),
     )
 
 
-_POISSON = " + ".join(f"case when u >= {p!r} then 1 else 0 end" for p in poisson_one_cdf())
+_LIMITS = [poisson_limits(mean) for mean in range(1, SMALL_MEAN)]
 
 ORACLES = {
     "normalised_corpus": V.with_views(
@@ -330,11 +330,26 @@ from macro m join (select dataset, quantile_cont(v, 0.025) as lo, quantile_cont(
         "comments",
         extra={
             **_SHARES,
-            "drawn": f"""select dataset, r, moderator_percent as x, {_POISSON} as w from (
-  select dataset, moderator_percent, r,
-    cast(('0x'||substr(md5('42|'||cast(r // 4 as string)||'|'||conv_id), 1 + 8*(r % 4), 8)) as bigint)
-      / 4294967296.0E0 as u
-  from shares, range({REPLICATES}) t(r) where dataset in (select dataset from macro))""",
+            "sizes": """select dataset, n_moderator, n_comments, n_moderator * 100.0E0 / n_comments as x, count(*) as n
+from (select dataset, conv_id, count(*) filter (is_moderator) as n_moderator, count(is_moderator) as n_comments
+  from comments group by dataset, conv_id)
+where dataset in (select dataset from macro) group by all""",
+            "attempts": f"""select dataset, n_moderator, n_comments, r, n, t, 2*(-0.059E0 + 0.02483E0*b) as a2, b,
+  (('0x'||d[1:8])::bigint + 0.5E0) / 4294967296 - 0.5E0 as u, (('0x'||d[9:16])::bigint + 0.5E0) / 4294967296 as v
+from (select *, 0.931E0 + 2.53E0*sqrt(n) as b,
+    md5('42|'||r||'|'||dataset||'|'||n_moderator||'|'||n_comments||'|'||t) as d
+  from sizes, range({REPLICATES}) q(r), range({ATTEMPTS}) p(t) where n >= {SMALL_MEAN})""",
+            "rejected": """select dataset, n_moderator, n_comments, r, arg_min(k, t) filter (
+    (edge >= 0.07 and v <= 0.9277E0 - 3.6224E0/(b-2)) or (k >= 0 and not (edge < 0.013 and v > edge)
+    and ln(v) + ln(1.1239E0 + 1.1328E0/(b-3.4E0)) - ln(a2/2/(edge*edge) + b)
+      <= k*ln(n) - n - lgamma(greatest(k, 0) + 1))) as w
+from (select *, 0.5E0 - abs(u) as edge, floor((a2/(0.5E0 - abs(u)) + b)*u + n + 0.43E0) as k from attempts)
+group by dataset, n_moderator, n_comments, r""",
+            "inverted": f"""select dataset, n_moderator, n_comments, r, len(list_filter({_LIMITS}[n], lambda p: p <= word)) as w
+from (select *, ('0x'||substr(md5('42|'||(r // 4)||'|'||dataset||'|'||n_moderator||'|'||n_comments),
+    1 + 8*(r % 4), 8))::bigint as word from sizes, range({REPLICATES}) q(r) where n < {SMALL_MEAN})""",
+            "drawn": """select dataset, r, w, x
+from (from rejected union all from inverted) join sizes using (dataset, n_moderator, n_comments)""",
             "means": """select dataset, r, cast(sum(w*x) as double)/nullif(sum(w),0) as v
 from drawn group by dataset, r""",
         },

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.functions.hashing import hash_order, hash_word, poisson_weight
+from parley.functions.hashing import hash_order, hash_word, poisson_draw
 
 
 def moderator_share(
@@ -37,6 +37,19 @@ def surviving_groups(rows: DataFrame, groups: DataFrame, key: str = "dataset") -
     return rows.join(groups.select(key), key, "left_semi")
 
 
+def moderator_counts(
+    comments: DataFrame, dataset: str = "dataset", conv: str = "conv_id"
+) -> DataFrame:
+    """Comments and moderator comments of every discussion, and the moderator percent."""
+    sizes = comments.groupBy(dataset, conv).agg(
+        F.count("is_moderator").alias("n_comments"),
+        F.count_if("is_moderator").alias("n_moderator"),
+    )
+    return sizes.withColumn(
+        "moderator_percent", F.try_divide(F.col("n_moderator").cast("double"), "n_comments") * 100
+    )
+
+
 def bootstrap_interval(
     rows: DataFrame,
     value: str,
@@ -48,40 +61,43 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Poisson bootstrap interval of the mean per key.
 
-    Every row draws a Poisson(1) weight per replicate from a hash of its id, so
-    no rows are moved or repeated: weighted sums are combined on the map side
-    into one row per (key, four replicates). One digest feeds four replicates.
+    Rows that agree in key, ids and value are counted first. The sum of n
+    Poisson(1) weights is one Poisson(n) weight, so such a group draws once per
+    replicate from a hash of its ids, however many rows it stands for. Groups
+    are dealt by replicate: a key that holds most of them is spread like any
+    other, and the sums per key need no further shuffle. Rows without a value
+    take no part; a key without values has no interval.
     """
     blocks = -(-replicates // 4)
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    drawn = rows.select(key, *ids, F.col(value).alias("_x")).withColumn("_block", block)
-    drawn = drawn.withColumn("_digest", hash_order(seed, F.col("_block"), *map(F.col, ids)))
-    weights = [f"_w{i}" for i in range(4)]
-    drawn = drawn.withColumns(
-        {w: poisson_weight(hash_word(F.col("_digest"), i)) for i, w in enumerate(weights)}
-    )
-    sums = drawn.groupBy(key, "_block").agg(
-        *[
-            F.struct(F.sum(F.col(w) * F.col("_x")).alias("wx"), F.sum(w).alias("w")).alias(f"_s{i}")
-            for i, w in enumerate(weights)
-        ]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.select(
+        F.col(key).alias("_key"), *[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], F.col(value).alias("_x")
     )
-    numbered = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.col(f"_s{i}").alias("s")) for i in range(4)]
+    own = [F.col(f"_id{i}") for i in range(len(ids))]
+    counts = named.groupBy(*named.columns).agg(F.count("_x").alias("_n"))
+    drawn = counts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # One digest feeds four replicates.
+    digest = hash_order(seed, F.col("_block"), *own)
+    words = F.array(*[hash_word(F.col("_digest"), i) for i in range(4)])
+    drawn = (
+        drawn.repartition(tasks, "_block")
+        .withColumn("_digest", digest)
+        .select("*", F.posexplode(words).alias("_i", "_word"))
+        .withColumn("_r", F.col("_block") * 4 + F.col("_i"))
+        .where(F.col("_r") < replicates)
     )
-    means = (
-        sums.select(key, "_block", F.inline(numbered))
-        .where(F.col("_block") * 4 + F.col("i") < replicates)
-        .select(key, F.try_divide("s.wx", "s.w").alias("_mean"))
+    weight = poisson_draw(F.col("_n"), F.col("_word"), lambda t: hash_order(seed, F.col("_r"), *own, t))
+    means = drawn.withColumn("_w", weight).groupBy("_key", "_block", "_i").agg(
+        F.try_divide(F.sum(F.col("_n") * F.col("_x")), F.sum("_n")).alias("_centre"),
+        F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_mean"),
     )
     tail = (1.0 - level) / 2
     # At most one mean per replicate and key reaches the exact percentile.
-    bounds = means.groupBy(key).agg(
+    return means.groupBy(F.col("_key").alias(key)).agg(
+        F.max("_centre").alias("mean_pct"),
         F.percentile("_mean", F.lit(tail)).alias("ci_low"),
         F.percentile("_mean", F.lit(1.0 - tail)).alias("ci_high"),
     )
-    centre = rows.groupBy(key).agg(F.avg(value).alias("mean_pct"))
-    return centre.join(bounds, key).select(key, "mean_pct", "ci_low", "ci_high")
 
 
 def discussion_sizes(

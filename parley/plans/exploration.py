@@ -10,7 +10,7 @@ from parley.operators.statistics import (
     bootstrap_interval,
     density_histogram,
     discussion_sizes,
-    moderator_share,
+    moderator_counts,
 )
 
 
@@ -25,7 +25,7 @@ def word_histogram(comments: DataFrame, bins: int = 50, cap: int = 500) -> DataF
 def moderation_intervals(comments: DataFrame, replicates: int = 1000) -> DataFrame:
     """Mean moderator share per moderated dataset with a 95 % interval."""
     intervals = bootstrap_interval(
-        moderator_share(comments), "moderator_percent", ["conv_id"], replicates=replicates
+        moderator_counts(comments), "moderator_percent", ["dataset", "n_moderator", "n_comments"], replicates=replicates
     )
     # Datasets without moderation go at the end, one row each: no join of all discussions.
     return intervals.where("mean_pct > 0")

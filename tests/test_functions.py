@@ -1,5 +1,7 @@
 """Literal rows for every edge case of the expressions."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from parley.functions.hashing import (
     hash_order,
     hash_uniform,
     hash_word,
+    poisson_draw,
     poisson_one_cdf,
     poisson_weight,
 )
@@ -153,3 +156,27 @@ def test_hashes_are_uniform_and_weights_are_poisson(spark):
         ).first()
         assert abs(row["u"] - 0.5) < 0.01 and abs(row["w"] - 1) < 0.03 and abs(row["v"] - 1) < 0.06
     assert abs(poisson_one_cdf()[-1] - 1) < 1e-8
+
+
+def test_poisson_draws_of_any_mean(spark):
+    draw = poisson_draw(F.col("n"), hash_word(hash_order(1, F.col("n"), F.col("r"))), lambda t: hash_order(2, F.col("n"), F.col("r"), t))
+    means = [1, 3, 9, 10, 17, 1000, 10**7, 10**11]
+    table = spark.range(20000).select(F.col("id").alias("r"), F.explode(F.array(*[F.lit(n).cast("long") for n in means])).alias("n"))
+    drawn = table.select("n", draw.alias("w"))
+    for r in drawn.groupBy("n").agg(F.avg("w").alias("mean"), F.var_samp("w").alias("var")).collect():
+        # Standard errors of mean and variance from 20000 draws, five of each.
+        assert abs(r["mean"] - r["n"]) < 5 * math.sqrt(r["n"] / 20000)
+        assert abs(r["var"] / r["n"] - 1) < 5 * math.sqrt((2 + 1 / r["n"]) / 20000)
+    seen = {(r["n"], r["w"]): r["count"] for r in drawn.where("n in (3, 10, 17)").groupBy("n", "w").count().collect()}
+    for n in (3, 10, 17):
+        # Chi-square over the common values against the probabilities.
+        odds = {k: math.exp(k * math.log(n) - n - math.lgamma(k + 1)) * 20000 for k in range(60)}
+        common = [k for k in odds if odds[k] >= 10]
+        distance = sum((seen.get((n, k), 0) - odds[k]) ** 2 / odds[k] for k in common)
+        assert distance < len(common) + 5 * math.sqrt(2 * len(common))
+
+
+def test_poisson_draw_of_nothing_is_zero(spark):
+    table = spark.createDataFrame([(0,), (None,)], "n long")
+    draw = poisson_draw(F.col("n"), F.lit("ffffffff"), lambda t: F.lit("f" * 32))
+    assert [r[0] for r in table.select(draw).collect()] == [0, 0]

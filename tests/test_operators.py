@@ -1,6 +1,7 @@
 """Operators on small literal tables, against brute force and known values."""
 
 import itertools
+import math
 import random
 from statistics import mean
 
@@ -426,6 +427,24 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert row["ci_high"] == pytest.approx(4.5 + 0.2815, abs=0.06)
 
 
+def test_bootstrap_of_counted_rows(spark):
+    # One key holds nearly all rows; equal rows are one draw of their number.
+    rows = spark.range(300_000).select(
+        F.when(F.col("id") < 30, "small").otherwise("hot").alias("dataset"),
+        (F.col("id") % 10).alias("kind"), (F.col("id") % 10).cast("double").alias("x"),
+    )
+    odd = spark.createDataFrame([("empty", 1, None), (None, 2, 5.0), (None, 3, None)], "dataset string, kind long, x double")
+    got = {r["dataset"]: r for r in T.bootstrap_interval(rows.union(odd), "x", ["dataset", "kind"]).collect()}
+    error = math.sqrt(8.25 / 299_970)
+    assert got["hot"]["mean_pct"] == pytest.approx(4.5)
+    assert got["hot"]["ci_low"] == pytest.approx(4.5 - 1.96 * error, abs=0.2 * error)
+    assert got["hot"]["ci_high"] == pytest.approx(4.5 + 1.96 * error, abs=0.2 * error)
+    assert got["small"]["ci_high"] - got["small"]["ci_low"] == pytest.approx(2 * 1.96 * math.sqrt(8.25 / 30), rel=0.15)
+    assert got["empty"]["mean_pct"] is None and got["empty"]["ci_low"] is None
+    assert got[None]["mean_pct"] == 5.0 and got[None]["ci_high"] == 5.0
+    assert T.bootstrap_interval(rows.limit(0), "x", ["dataset", "kind"]).count() == 0
+
+
 def test_histogram_closes_the_last_bin_and_integrates_to_one(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 10), ("a", 10), ("b", 5)], "dataset string, v int")
     got = T.density_histogram(rows, F.col("v"), 5).collect()
