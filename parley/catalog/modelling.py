@@ -313,7 +313,56 @@ from """
 _ANSWER = """case when contains(t,'?') or contains(t,'please') or contains(t,'thank')
   or contains(t,'X') then '1' else '0' end"""
 
+def _head_sql(select: str, penalties: tuple[float, ...] = (0.0, 0.01, 0.1), steps: int = 25) -> str:
+    """The fit of the head step by step: one table per step with a row per penalty."""
+    ctes = ["""labelled as (
+  select vec_id, case when label < 5 then 1.0E0 else 0.0E0 end as y,
+    list_transform(embedding, lambda v: cast(v as double)) as f from embeddings where label is not null)""",
+        """ranked as (
+  select *, row_number() over (partition by y order by md5('42|'||cast(vec_id as string)), cast(vec_id as string)) as rn,
+    count(*) over (partition by y) as n from labelled)""",
+        """split as (select vec_id, y, f, case when rn <= floor(n*0.6E0 + 0.5E0) then 'train'
+  when rn <= floor(n*0.8E0 + 0.5E0) then 'val' else 'test' end as split from ranked)""",
+        """spread as (select list(mu order by j) as mu, list(case when sd = 0 then 1.0E0 else sd end order by j) as sd
+  from (select j, avg(v) as mu, stddev_pop(v) as sd
+    from (select unnest(f) as v, generate_subscripts(f, 1) as j from split where split = 'train') group by j))""",
+        """inputs as materialized (select vec_id, y, split, list_append(
+    list_transform(range(1, len(f) + 1), lambda j: (f[j] - mu[j]) / sd[j]), 1.0E0) as x from split, spread)""",
+        """classes as (select count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg
+  from inputs where split = 'train')""",
+        """train as materialized (select vec_id, y, x,
+    case when y = 1 then neg::double / pos else 1.0E0 end / (2.0E0 * neg) as c
+  from inputs, classes where split = 'train')""",
+        "cells as (select vec_id, c, unnest(x) as v, generate_subscripts(x, 1) as j from train)",
+        """curve as materialized (select max(s) / 4 as curvature from (select i, sum(abs(m)) as s
+  from (select a.j as i, b.j as j, sum(a.c * a.v * b.v) as m from cells a join cells b using (vec_id) group by all)
+  group by i))""",
+        f"""w0 as materialized (select lam, list_transform(x, lambda v: 0.0E0) as w, list_transform(x, lambda v: 0.0E0) as prev
+  from (select x from train limit 1), (values {", ".join(f"({p!r}::double)" for p in penalties)}) p(lam))"""]
+    for k in range(steps):
+        ctes += [f"""a{k} as materialized (select lam, w, list_transform(range(1, len(w) + 1),
+    lambda j: w[j] + {k}.0E0 / {k + 3} * (w[j] - prev[j])) as ahead from w{k})""",
+            f"""g{k} as materialized (select lam, j, sum(r * v) as g from (
+    select lam, r, unnest(x) as v, generate_subscripts(x, 1) as j from (
+      select lam, x, c * (1.0E0 / (1.0E0 + exp(-list_dot_product(ahead, x))) - y) as r from train, a{k}))
+  group by lam, j)""",
+            f"""w{k + 1} as materialized (select lam, list(now order by j) as w, any_value(w) as prev from (
+    select lam, j, w, ahead[j] - (g + case when j < len(w) then lam else 0 end * ahead[j]) / (curvature + lam) as now
+    from g{k} join a{k} using (lam), curve) group by lam)"""]
+    ctes += [f"""scored as materialized (select lam, vec_id, y, split, 1.0E0 / (1.0E0 + exp(-list_dot_product(w, x))) as score
+  from inputs, w{steps})""",
+        """best as (select lam from scored where split = 'val' group by lam
+  order by avg(-(y*ln(score) + (1-y)*ln(1-score))), lam limit 1)"""]
+    return "with " + ",\n".join(ctes) + "\n" + select
+
+
+_DECIDED = "round(score, 6) as score, cast(case when score >= 0.5E0 then 1 else 0 end as bigint) as decision"
+
 ORACLES = {
+    "weighted_head": _head_sql(
+        f"select vec_id, y as label, {_DECIDED} from scored join best using (lam) where split = 'test'"
+    ),
+    "classifier_score": _head_sql(f"select vec_id, {_DECIDED} from scored join best using (lam)"),
     "context_text": V.with_views(
         _context_sql(3, 3000, "c.message_id, c.dataset"), "comments", extra=_cut(3000)
     ),

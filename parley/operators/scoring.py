@@ -7,14 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.labels import decide, sigmoid
 from parley.functions.text import redact_prompt
+from parley.operators.head import Head, fit_heads
 from parley.operators.sampling import stratified_split
 from parley.session import work_path
 
@@ -50,8 +48,7 @@ def batch_score(
 
     The prompt text is built in the JVM and is the only column that goes
     through Python, in Arrow batches. ``make_scorer`` runs once per partition,
-    so a real model loads once per task. This is the only Python step of the
-    library.
+    so a real model loads once per task.
     """
 
     @F.pandas_udf("string")
@@ -64,54 +61,53 @@ def batch_score(
 
 
 def feature_rows(df: DataFrame, features: str, label: Column) -> DataFrame:
-    """Array features as an ML vector, with a numeric label."""
-    vector = array_to_vector(F.col(features).cast("array<double>"))
-    return df.withColumn("features", vector).withColumn("label", label.cast("double"))
+    """Features as doubles, with a numeric label."""
+    return df.withColumn("features", F.col(features).cast("array<double>")).withColumn("label", label.cast("double"))
+
+
+def _loss(score: Column, label: Column) -> Column:
+    p = F.greatest(F.least(score, F.lit(1 - 1e-15)), F.lit(1e-15))
+    y = label.cast("double")
+    return F.avg(F.when(score.isNotNull(), -(y * F.log(p) + (1 - y) * F.log(1 - p))))
 
 
 def log_loss(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean binary log loss of probability ``score`` against ``label``."""
-    p = F.greatest(F.least("score", F.lit(1 - 1e-15)), F.lit(1e-15))
-    y = F.col("label").cast("double")
-    loss = -(y * F.log(p) + (1 - y) * F.log(1 - p))
-    return scored.groupBy(*keys).agg(F.avg(loss).alias("loss"))
+    """Mean binary log loss of probability ``score`` against ``label``; rows without a score take no part."""
+    return scored.groupBy(*keys).agg(_loss(F.col("score"), F.col("label")).alias("loss"))
 
 
 def train_head(
     rows: DataFrame,
     id_col: str,
     penalties: Sequence[float] = (0.0, 0.01, 0.1),
-    max_iter: int = 50,
+    steps: int = 25,
     seed: int = 42,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[Head, DataFrame]:
     """One-logit head on fixed features, positives weighted by the class ratio.
 
     ``rows`` has ``features`` and ``label``. The split is stratified by label,
-    so a rare class has rows everywhere. The ratio is taken from training rows
-    only; the penalty with the lowest validation loss wins. Training is
-    Spark ML's distributed optimiser: only coefficients reach the driver.
-    Returns the model and the rows with their split.
+    so a rare class has rows everywhere, and written once, by split: a step of
+    the fit reads the training files and serves all penalties. The ratio is
+    taken from training rows only; the penalty with the lowest validation loss
+    wins (ties: the earlier). Returns the head and the rows with their split.
     """
+    path = work_path(rows.sparkSession, "split")
     split = stratified_split(rows, "label", seed=seed, id_col=id_col)
-    train, validate = split.where("split = 'train'"), split.where("split = 'val'")
-    ratio = train.agg(
-        F.coalesce(
-            F.try_divide(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)),
-            F.lit(1.0),
-        )
-    ).scalar()
-    weighted = train.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(1.0))
-    best = None
-    for penalty in penalties:
-        head = LogisticRegression(
-            featuresCol="features", labelCol="label", weightCol="weight",
-            regParam=penalty, maxIter=max_iter,
-        ).fit(weighted)
-        model = _landed(PipelineModel([head]), work_path(rows.sparkSession, "head"))
-        loss = log_loss(score_rows(model, validate)).first()["loss"]
-        if best is None or (loss is not None and loss < best[0]):
-            best = (loss if loss is not None else float("inf"), model)
-    return best[1], split
+    split.write.partitionBy("split").parquet(path)
+    split = rows.sparkSession.read.schema(split.schema).parquet(path)
+    heads = fit_heads(split.where("split = 'train'"), penalties, steps)
+    losses = [_loss(_head_score(head), F.col("label")).alias(f"loss{i}") for i, head in enumerate(heads)]
+    found = split.where("split = 'val'").agg(*losses).first()
+    best = min(range(len(heads)), key=lambda i: (float("inf") if found[i] is None else found[i], i))
+    return heads[best], split
+
+
+def _head_score(head: Head, features: str = "features") -> Column:
+    terms = F.zip_with(
+        F.col(features).cast("array<double>"), F.array(*[F.lit(float(w)) for w in head.weights]), lambda x, w: x * w
+    )
+    logit = F.aggregate(terms, F.lit(float(head.bias)), lambda total, term: total + term)
+    return sigmoid(F.when(F.size(features) == len(head.weights), logit))
 
 
 def linear_score(
@@ -121,16 +117,11 @@ def linear_score(
 
     Features of another length than the weights, or with a missing one, have no score.
     """
-    terms = F.zip_with(
-        F.col(features).cast("array<double>"), F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w
-    )
-    logit = F.aggregate(terms, F.lit(float(bias)), lambda total, term: total + term)
-    return df.withColumn(out, sigmoid(F.when(F.size(features) == len(weights), logit))).withColumn(
-        "decision", decide(F.col(out))
-    )
+    score = _head_score(Head(list(weights), bias), features)
+    return df.withColumn(out, score).withColumn("decision", decide(F.col(out)))
 
 
-def head_report(model: PipelineModel, split: DataFrame) -> DataFrame:
+def head_report(model: Head, split: DataFrame) -> DataFrame:
     """Rows, positives and class weight per split, and whether the head fits better than a constant.
 
     Both are judged by the weighted loss of the training rows, which a converged
@@ -148,20 +139,6 @@ def head_report(model: PipelineModel, split: DataFrame) -> DataFrame:
     )
 
 
-def _landed(model: PipelineModel, path: str) -> PipelineModel:
-    """The model as written and read back.
-
-    A freshly trained model still carries its training summary, and with it
-    the session, which cannot always be shipped to executors.
-    """
-    model.write().save(path)
-    return PipelineModel.load(path)
-
-
-def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score_rows(model: Head, rows: DataFrame) -> DataFrame:
     """Add ``score``, the probability of the positive class, and the decision."""
-    scored = model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), 1))
-    return scored.withColumn("decision", decide(F.col("score"))).drop(
-        "rawPrediction", "probability", "prediction"
-    )
-
+    return linear_score(rows, "features", model.weights, model.bias)

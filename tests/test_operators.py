@@ -513,3 +513,42 @@ def test_a_trained_head_scores_in_a_session_with_observations(spark):
     # The weaker penalty separates the classes and wins on validation loss.
     assert log_loss(scored).first()["loss"] < 0.1
     assert scored.where("decision <> label").count() == 0
+
+
+def test_heads_of_all_penalties_reach_the_minimum(spark, tmp_path):
+    import numpy as np
+
+    from parley.operators.head import Head, fit_heads
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 6)) @ (np.eye(6) + 0.3 * rng.normal(size=(6, 6))) + 5.0
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1] - 1.5)))).astype(float)
+    odd = [(None, 1.0), ([1.0] * 5, 1.0), ([float("nan")] * 6, 0.0), ([None] + [1.0] * 5, 0.0), ([1.0] * 6, None)]
+    rows = [(r.tolist(), float(label)) for r, label in zip(x, y)] + odd
+    train = spark.createDataFrame(rows, "features array<double>, label double")
+    heads = fit_heads(train, (0.01, 0.1), steps=200)
+    scale = x.std(axis=0)
+    z = np.hstack([(x - x.mean(axis=0)) / scale, np.ones((600, 1))])
+    c = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    c /= c.sum()
+    for penalty, head in zip((0.01, 0.1), heads):
+        # Newton's method on all rows at once.
+        w, free = np.zeros(7), np.append(np.full(6, penalty), 0.0)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ w))
+            w -= np.linalg.solve(z.T @ ((c * p * (1 - p))[:, None] * z) + np.diag(free), z.T @ (c * (p - y)) + free * w)
+        assert head.weights == pytest.approx(w[:-1] / scale, abs=1e-5)
+        assert head.bias == pytest.approx(w[-1] - (w[:-1] / scale) @ x.mean(axis=0), abs=1e-4)
+    heads[0].save(spark, f"{tmp_path}/head")
+    assert Head.load(spark, f"{tmp_path}/head") == heads[0]
+    with pytest.raises(ValueError):
+        fit_heads(train.limit(0), (0.0,))
+
+
+def test_a_head_of_one_class_and_of_a_constant_feature(spark):
+    from parley.operators.head import fit_heads
+
+    rows = [([float(i), 3.0], 1.0) for i in range(20)]
+    train = spark.createDataFrame(rows, "features array<double>, label double")
+    head = fit_heads(train, (0.1,))[0]
+    assert head.weights[1] == 0 and head.bias > 1
