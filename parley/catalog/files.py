@@ -158,7 +158,7 @@ def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     comments = V.comments(spark, sf).select("message_id", "dataset")
     sinks.write_once(spark, path, lambda: comments)
     sinks.write_once(spark, path, lambda: comments.where("dataset = 'ds0'"))
-    return spark.read.parquet(path)
+    return sinks.read_once(spark, path)
 
 
 QUERIES = {

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ATTEMPT = "attempt string"
+
 
 def land_corpus(df: DataFrame, path: str) -> None:
     """The corpus as Parquet, which later scans can split, prune and filter."""
@@ -33,21 +37,68 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def committed_attempt(spark: SparkSession, path: str) -> str | None:
+    """Name of the attempt that is the result at a path, or nothing while there is none."""
+    try:
+        row = spark.read.schema(_ATTEMPT).json(f"{path}/commit").first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return row["attempt"] if row else None
+
+
 def already_written(spark: SparkSession, path: str) -> bool:
-    """True when a finished output exists; a half-written one has no marker."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """True when a finished output exists; attempts without a commit do not count."""
+    return committed_attempt(spark, path) is not None
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """The result that `write_once` left at a path."""
+    attempt = committed_attempt(spark, path)
+    if attempt is None:
+        raise FileNotFoundError(f"no finished result at {path}")
+    return spark.read.parquet(f"{path}/attempts/{attempt}")
 
 
 def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> bool:
-    """Build and write a result unless it is already there.
+    """Build and write a result unless it is already there. Returns whether this call's result stands.
 
-    The plan is not even built when the output exists. Returns whether it wrote.
+    The plan is not even built when a result exists. Writers that start together
+    each write an attempt of their own name; the first to enter it in the log of
+    a file sink, which takes a batch number only once, is the result, and the
+    others empty theirs. A writer that dies leaves no result behind.
     """
     if already_written(spark, path):
         return False
-    build().write.mode("overwrite").parquet(path)
-    return True
+    attempt = uuid.uuid4().hex
+    result = build()
+    result.write.parquet(f"{path}/attempts/{attempt}")
+    _commit(spark, path, attempt)
+    won = committed_attempt(spark, path) == attempt
+    if not won:
+        result.limit(0).write.mode("overwrite").parquet(f"{path}/attempts/{attempt}")
+    return won
+
+
+def _commit(spark: SparkSession, path: str, attempt: str) -> None:
+    """Enter an attempt as the result, unless another one has been entered."""
+    notes = f"{path}/notes/{attempt}"
+    spark.createDataFrame([(attempt,)], _ATTEMPT).coalesce(1).write.json(notes)
+    query = (
+        spark.readStream.schema(_ATTEMPT).json(notes)
+        .writeStream.format("json")
+        .option("path", f"{path}/commit")
+        .option("checkpointLocation", f"{path}/progress/{attempt}")
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        # The entry of a writer that was faster is no failure.
+        if not already_written(spark, path):
+            raise
 
 
 def export_name(prefix: str, model: str, suffix: str):

@@ -1,6 +1,8 @@
 """Readers and writers on small files, as a user would lay them out."""
 
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +103,46 @@ def test_a_finished_output_is_not_built_again(spark, tmp_path):
 
     assert sinks.write_once(spark, path, lambda: spark.range(3).toDF("x"))
     assert not sinks.write_once(spark, path, never)
-    assert spark.read.parquet(path).count() == 3
+    assert sinks.read_once(spark, path).count() == 3
+
+
+def test_writers_that_start_together_leave_one_result(spark, tmp_path):
+    path, started = f"{tmp_path}/once", threading.Barrier(4)
+
+    def writer(n):
+        def build():
+            started.wait()
+            return spark.range(100 * n, 100 * n + 100).toDF("x")
+
+        return sinks.write_once(spark, path, build)
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(writer, range(4)))
+    assert sum(won) == 1
+    rows = sorted(r["x"] for r in sinks.read_once(spark, path).collect())
+    assert rows == list(range(100 * won.index(True), 100 * won.index(True) + 100))
+    # The losers' rows are gone.
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{path}/attempts").count() == 100
+
+
+def test_a_writer_that_dies_leaves_no_result(spark, tmp_path):
+    path = f"{tmp_path}/once"
+
+    def broken():
+        return spark.range(10).select(F.raise_error(F.lit("lost")).alias("x"))
+
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_once(spark, path, broken)
+    assert not sinks.already_written(spark, path)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_once(spark, path)
+    # Nor does one that dies between its rows and its commit.
+    spark.range(5).toDF("x").write.parquet(f"{path}/attempts/dead")
+    assert sinks.write_once(spark, path, lambda: spark.range(3).toDF("x"))
+    assert sinks.read_once(spark, path).count() == 3
+    # A commit that comes too late changes nothing.
+    sinks._commit(spark, path, "dead")
+    assert sinks.read_once(spark, path).count() == 3
 
 
 def test_stream_appends_each_file_once(spark, tmp_path):
