@@ -79,7 +79,7 @@ def sample_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def surviving_groups(spark: SparkSession, sf: str) -> DataFrame:
-    shares = S.moderator_share(V.comments(spark, sf))
+    shares = S.landed_groups(S.moderator_share(V.comments(spark, sf)))
     frequent = S.moderator_share_macro(shares).where(F.col("mean_pct") > 28)
     return rounded(S.surviving_groups(shares, frequent), "moderator_percent")
 

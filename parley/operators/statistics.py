@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions.hashing import hash_order, hash_word, poisson_draw
+from parley.session import work_path
+
+# Largest list of groups that is broadcast.
+BROADCAST_GROUPS = 100_000
+_TAG = "_group"
 
 
 def moderator_share(
@@ -32,9 +37,29 @@ def moderator_share_macro(shares: DataFrame, dataset: str = "dataset") -> DataFr
     )
 
 
+def landed_groups(rows: DataFrame, key: str = "dataset") -> DataFrame:
+    """Rows written to the shared folder in one directory per group, with the group's tag.
+
+    The tag is never empty, so an empty key keeps a directory of its own; rows without a key have no tag.
+    """
+    path = work_path(rows.sparkSession, "groups")
+    tagged = rows.withColumn(_TAG, F.concat(F.lit("g"), F.col(key).cast("string")))
+    tagged.write.partitionBy(_TAG).parquet(path)
+    return rows.sparkSession.read.schema(tagged.schema).parquet(path)
+
+
 def surviving_groups(rows: DataFrame, groups: DataFrame, key: str = "dataset") -> DataFrame:
-    """Rows whose group is listed."""
-    return rows.join(groups.select(key), key, "left_semi")
+    """Rows whose group is listed.
+
+    Of rows landed by group only the listed directories are read, and no row
+    moves: the list is broadcast if it has at most 100,000 groups, which is
+    counted. More groups, and rows that are not landed, are a semi join.
+    """
+    if _TAG not in rows.columns:
+        return rows.join(groups.select(key), key, "left_semi")
+    listed = groups.select(F.concat(F.lit("g"), F.col(key).cast("string")).alias(_TAG)).distinct()
+    few = listed.count() <= BROADCAST_GROUPS
+    return rows.join(F.broadcast(listed) if few else listed, _TAG, "left_semi").drop(_TAG)
 
 
 def moderator_counts(

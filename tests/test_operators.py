@@ -552,3 +552,16 @@ def test_a_head_of_one_class_and_of_a_constant_feature(spark):
     train = spark.createDataFrame(rows, "features array<double>, label double")
     head = fit_heads(train, (0.1,))[0]
     assert head.weights[1] == 0 and head.bias > 1
+
+
+def test_surviving_groups_of_landed_rows(spark, monkeypatch):
+    rows = [("a", 1), ("a", 1), ("", 2), (None, 3), ("g", 4), ("x/y=z", 5)]
+    table = spark.createDataFrame(rows, "dataset string, x int")
+    groups = spark.createDataFrame([("a",), ("",), ("a",), (None,), ("x/y=z",), ("new",)], "dataset string")
+    want = [("", 2), ("a", 1), ("a", 1), ("x/y=z", 5)]
+    for bound in (100, 1):
+        monkeypatch.setattr(T, "BROADCAST_GROUPS", bound)
+        got = T.surviving_groups(T.landed_groups(table), groups)
+        assert got.columns == ["dataset", "x"] and sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, T.surviving_groups(table, groups).collect())) == want
+    assert T.surviving_groups(T.landed_groups(table.limit(0)), groups).count() == 0

@@ -12,7 +12,7 @@ EAGER = {
     "csv_single_file", "thread_order", "chunks_by_thread", "balanced_subset", "balanced_subset_2000", "sample_remainder",
     "capped_sources", "capped_sources_large", "escalation_percentile", "percentile_values",
     "tfidf", "characteristic_phrases", "characteristic_phrases_moderators",
-    "lookup_scan", "human_scan", "file_name_scan", "prediction_scan", "curve_scan", "skip_existing",
+    "lookup_scan", "human_scan", "file_name_scan", "prediction_scan", "curve_scan", "skip_existing", "surviving_groups",
 }
 
 
@@ -78,6 +78,17 @@ def test_rows_do_not_depend_on_the_number_of_partitions(spark, sf):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_groups_are_pruned_and_not_moved(spark, sf):
+    text = plan(spark, sf, "surviving_groups")
+    assert "dynamicpruning" in text and "CartesianProduct" not in text
+    # The shares go from their pruned scan into the join; only means of groups are shuffled.
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line)
+    own = [line for line in lines[at + 1 : at + 4] if "Scan parquet" in line]
+    assert own and "dynamicpruning" in own[0]
+    assert not any("Exchange" in line for line in lines[at + 1 : lines.index(own[0])])
+
+
 def test_only_the_prompt_goes_through_python(spark, sf):
     text = plan(spark, sf, "batch_score")
     assert len(re.findall(r"EvalPython", text)) == 1
