@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 from statistics import mean
 
 import pytest
@@ -13,6 +14,7 @@ from parley.operators import agreement as A
 from parley.operators import corpus as C
 from parley.operators import metrics as M
 from parley.operators import ordering as O
+from parley.operators import phrases as P
 from parley.operators import ratings as R
 from parley.operators import sampling as S
 from parley.operators import statistics as T
@@ -27,6 +29,7 @@ from parley.operators.context import (
 )
 from parley.operators.selection import exact_percentile
 from parley.operators.phrases import document_phrases, frequent_phrases, tfidf
+from parley.session import pinned
 
 COMMENT = "message_id string, reply_to string, text string"
 
@@ -415,6 +418,38 @@ def test_phrases_against_brute_force(spark):
     assert weights["2", "alpha beta"] == pytest.approx(1)
 
 
+def test_phrases_move_once(spark, monkeypatch):
+    # Repeated and null ids, a null dataset, a null text; far more buckets than phrases in a text.
+    texts = [
+        (1, "d", "alpha beta gamma alpha beta gamma"), (1, "d", "beta gamma alpha"), (None, "e", "alpha beta delta"),
+        (2, "e", None), (3, None, "delta alpha beta"), (4, "e", "omega sigma"), (5, "e", "alpha beta regulationroom"),
+    ]
+    table = spark.createDataFrame(texts, "doc long, dataset string, text string")
+    monkeypatch.setattr(P, "BUCKET_CHARS", 10)
+    phrases = []
+    for doc, dataset, text in texts:
+        words = (text or "").replace("regulationroom", "regulation room").split()
+        phrases.append((doc, dataset, Counter(" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1))))
+    df = Counter(p for _, _, found in phrases for p in found)
+    weights = [
+        (doc, dataset, p, n * (math.log(8 / (1 + df[p])) + 1)) for doc, dataset, found in phrases for p, n in found.items() if df[p] > 1
+    ]
+    squares = Counter()
+    for doc, _, _, w in weights:
+        squares[doc] += w * w
+    order = lambda row: tuple(map(repr, row))
+    want = sorted(((doc, ds, p, round(w / math.sqrt(squares[doc]), 9)) for doc, ds, p, w in weights), key=order)
+    assert sorted(((*r[:3], round(r[3], 9)) for r in tfidf(table, "doc").collect()), key=order) == want
+    # The one exchange of phrases is read by frequencies, norms and weights; the others hold numbers.
+    with pinned(spark, P.BY_BUCKET):
+        rows = P._weighted(table, "doc", "dataset", 2, ())
+        rows.collect()
+        final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in final.splitlines() if "Exchange hashpartitioning(" in line and "Reused" not in line]
+    assert len(moved) == 4 and final.count("ReusedExchange") >= 2
+    assert len([line for line in moved if "REPARTITION_BY_NUM" in line]) == 3
+
+
 def test_bootstrap_interval_covers_the_mean(spark):
     rows = spark.range(400).select(
         F.lit("d").alias("dataset"), F.col("id").cast("string").alias("conv_id"),
