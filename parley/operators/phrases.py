@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,8 @@ from parley.session import landed, pinned
 STOP_WORDS = ENGLISH_STOP_WORDS + WEB_STOP_WORDS
 # Characters of text whose phrases share a bucket, on average: bounds a task.
 BUCKET_CHARS = 8_000_000
+# Hash slots of a dataset's phrases, and how many of the largest are counted first: change speed, never results.
+SLOTS, FIRST_SLOTS = 16_384, 512
 # Tables dealt out by bucket are joined by bucket and phrase, or bucket and text, where they are.
 BY_BUCKET = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
@@ -78,18 +80,92 @@ def document_phrases(
     return starts.select(*own, F.inline(counted).alias("phrase", "tf"))
 
 
-def frequent_phrases(
-    texts: DataFrame, doc: str, dataset: str = "dataset", min_df: int = 2, top: int = 10, **options
+def _landed_words(
+    texts: DataFrame, doc: str, dataset: str, text: str, stop_words: Sequence[str], glued: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """Most frequent phrases per dataset among those in ``min_df`` texts; ties by phrase."""
+    """(dataset, words): the content words of every text, cleaned once."""
+    words = content_words(clean_text(F.col(text), glued), stop_words)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(doc, dataset, text).repartition(tasks, doc)
+    return landed(dealt.select(dataset, F.array_join(words, " ").alias("_words")), "words")
+
+
+def _occurrences(words: DataFrame, dataset: str, sizes: Sequence[int]) -> DataFrame:
+    """(row, dataset, phrase, slot): a row for every place of a phrase; a slot is a hash of the phrase."""
+    split = words.select(
+        F.monotonically_increasing_id().alias("_row"), dataset, F.split("_words", " ").alias("_all")
+    )
+    places = range(max(sizes))
+    zipped = F.arrays_zip(*[F.slice("_all", F.lit(at + 1), F.size("_all")).alias(f"_w{at}") for at in places])
+    runs = split.select("_row", dataset, F.inline(zipped).alias(*[f"_w{at}" for at in places]))
+    found = [
+        F.when(F.col(f"_w{size - 1}").isNotNull(), F.concat_ws(" ", *[f"_w{at}" for at in range(size)]))
+        for size in sorted(set(sizes))
+    ]
+    phrases = runs.select("_row", dataset, F.explode(F.array(*found)).alias("phrase")).where(F.col("phrase") != "")
+    return phrases.withColumn("_slot", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS)).cast("int"))
+
+
+def _counted(found: DataFrame, chosen: DataFrame, dataset: str, min_df: int, top: int) -> DataFrame:
+    """The first phrases of every dataset among those of the chosen slots, counted exactly."""
+    own = chosen.select(F.col(dataset).alias("_of"), F.col("_slot").alias("_of_slot"))
+    kept = found.join(own, F.col(dataset).eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_of_slot")), "left_semi")
     counts = (
-        document_phrases(texts, doc, dataset, **options)
-        .groupBy(dataset, "phrase")
-        .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("_df"))
+        kept.groupBy(dataset, "phrase", "_row").agg(F.count(F.lit(1)).alias("_tf"))
+        .groupBy(dataset, "phrase").agg(F.sum("_tf").alias("n"), F.count(F.lit(1)).alias("_df"))
         .where(F.col("_df") >= min_df)
         .drop("_df")
     )
-    ranked = first_k(counts, [dataset], [F.desc("n"), F.asc("phrase")], top, rank="rank")
+    return landed(first_k(counts, [dataset], _most(), top), "phrase-counts")
+
+
+def _most() -> list[Column]:
+    return [F.desc("n"), F.asc("phrase")]
+
+
+def frequent_phrases(
+    texts: DataFrame,
+    doc: str,
+    dataset: str = "dataset",
+    min_df: int = 2,
+    top: int = 10,
+    text: str = "text",
+    stop_words: Sequence[str] = STOP_WORDS,
+    sizes: Sequence[int] = (2, 3),
+    glued: Sequence[tuple[str, str]] = (),
+) -> DataFrame:
+    """Most frequent phrases per dataset among those in ``min_df`` texts; ties by phrase.
+
+    Exact, and most phrases never move. First every place of a phrase is counted
+    under its (dataset, slot), combined where the texts are: no phrase occurs more
+    often than its slot. The phrases of each dataset's largest slots are then
+    counted one by one. If the last of the first ``top`` occurs at least as often
+    as the smallest of those slots, no phrase outside can be among them;
+    datasets where it does not count all slots as large as what was found.
+    """
+    found = _occurrences(_landed_words(texts, doc, dataset, text, stop_words, glued), dataset, sizes)
+    slots = landed(found.groupBy(dataset, "_slot").agg(F.count(F.lit(1)).alias("_n")), "phrase-slots")
+    largest = first_k(slots, [dataset], [F.desc("_n"), F.asc("_slot")], FIRST_SLOTS)
+    least = landed(largest.groupBy(F.col(dataset).alias("_of")).agg(F.min("_n").alias("_least")), "phrase-least")
+
+    def chosen(bounds: DataFrame) -> DataFrame:
+        return slots.join(bounds, F.col(dataset).eqNullSafe(F.col("_of")) & (F.col("_n") >= F.col("_least")), "left_semi")
+
+    first = _counted(found, chosen(least), dataset, min_df, top)
+    # The smallest count that a phrase outside would have to reach; with too few phrases, any.
+    reached = first.groupBy(F.col(dataset).alias("_dataset")).agg(
+        F.when(F.count(F.lit(1)) >= top, F.min("n")).alias("_reached")
+    )
+    state = least.join(reached, F.col("_of").eqNullSafe(F.col("_dataset")), "left").select(
+        "_of", "_least", F.greatest(F.coalesce("_reached", F.lit(min_df)), F.lit(min_df)).alias("_bound")
+    )
+    open_ = landed(state.where(F.col("_bound") < F.col("_least")).select("_of", F.col("_bound").alias("_least")), "phrase-open")
+    counts = first
+    if not open_.isEmpty():
+        more = _counted(found, chosen(open_), dataset, min_df, top)
+        proven = first.join(open_, F.col(dataset).eqNullSafe(F.col("_of")), "left_anti")
+        counts = landed(proven.unionByName(more), "phrase-counts")
+    ranked = first_k(counts, [dataset], _most(), top, rank="rank")
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 

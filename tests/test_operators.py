@@ -418,6 +418,53 @@ def test_phrases_against_brute_force(spark):
     assert weights["2", "alpha beta"] == pytest.approx(1)
 
 
+def _top_phrases(texts, top, min_df=2):
+    n, df = Counter(), Counter()
+    for _, dataset, text in texts:
+        words = (text or "").split()
+        found = Counter(" ".join(words[i : i + k]) for k in (2, 3) for i in range(len(words) - k + 1))
+        n.update({(dataset, p): m for p, m in found.items()})
+        df.update((dataset, p) for p in found)
+    rows = []
+    for dataset in {d for _, d, _ in texts}:
+        kept = sorted((-m, p) for (d, p), m in n.items() if d == dataset and df[d, p] >= min_df)
+        rows += [(dataset, p, -m, at + 1) for at, (m, p) in enumerate(kept[:top])]
+    return sorted(rows, key=lambda row: tuple(map(repr, row)))
+
+
+@pytest.mark.parametrize(("slots", "first"), [(4, 1), (64, 2), (512, 16), (16_384, 512)])
+def test_frequent_phrases_by_slots(spark, monkeypatch, slots, first):
+    draw, words = random.Random(5), [a + b + "q" for a in "bcdfg" for b in "klmnp"]
+    # Steep and flat datasets, ties, a phrase often in one text only, a null dataset, too few phrases.
+    texts = [(i, "steep", " ".join(draw.choices(words, [3 ** -k for k in range(25)], k=12))) for i in range(80)]
+    texts += [(i, "flat", " ".join(draw.choices(words, k=12))) for i in range(80)]
+    texts += [(9, "flat", "zorb zorb " * 40), (9, None, "zorb karn zorb"), (None, None, "zorb karn"), (7, "few", "one"), (8, "none", None)]
+    table = spark.createDataFrame(texts, "doc long, dataset string, text string")
+    monkeypatch.setattr(P, "SLOTS", slots)
+    monkeypatch.setattr(P, "FIRST_SLOTS", first)
+    texts = [(i, d, None if t is None else t.replace("one", "")) for i, d, t in texts]
+    for top in (1, 10):
+        got = [(r["dataset"], r["phrase"], r["n"], r["rank"]) for r in frequent_phrases(table, "doc", top=top).collect()]
+        assert sorted(got, key=lambda row: tuple(map(repr, row))) == _top_phrases(texts, top)
+
+
+def test_few_phrases_are_counted_one_by_one(spark, monkeypatch):
+    texts = spark.range(2000).select(
+        F.col("id").alias("doc"), F.lit("d").alias("dataset"),
+        F.concat(F.lit("alpha beta "), F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjkln"), F.lit("q gamma")).alias("text"),
+    )
+    monkeypatch.setattr(P, "FIRST_SLOTS", 4)
+    seen, counted = [], P._counted
+
+    def spied(found, chosen, *rest):
+        seen.append(chosen.count())
+        return counted(found, chosen, *rest)
+
+    monkeypatch.setattr(P, "_counted", spied)
+    assert [(r["phrase"], r["n"]) for r in frequent_phrases(texts, "doc", top=1).collect()] == [("alpha beta", 2000)]
+    assert seen and seen[0] < 100 and len(seen) == 1
+
+
 def test_phrases_move_once(spark, monkeypatch):
     # Repeated and null ids, a null dataset, a null text; far more buckets than phrases in a text.
     texts = [
