@@ -142,3 +142,20 @@ def test_slices_of_texts_change_no_ids(library):
         assert list(encoder.encode_all(texts, size)) == expected
     assert list(encoder.encode_all([])) == [] and [encoder.encode(t) for t in texts] == expected
     assert list(vocabulary.texts_of(pa.array(texts), 5)) == texts
+
+
+def test_latin_letters_need_no_call_of_the_library():
+    path = vocabulary_path()
+    library, encoder = Tokenizer.from_file(path), token_files._library_encoder.__wrapped__(path, 4)
+    draw = random.Random(11)
+    letters = [chr(x) for x in (*range(0x21, 0x7F), *range(0xC0, 0x100))] + ["'s", "'t", " ", " ", "\n", *"aeiouéüß"]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(3000)]
+    # Other signs, parts of composed letters and letters with longer small forms stay with the library.
+    rest = ["×÷ é", "é é", "İstanbul éa", "µm ªº é è", "œuvre Ÿ", "é­", "<|é|> É'S"]
+    for text in texts + rest:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not any(vocabulary.LATIN_TEXT.fullmatch(chunk) for chunk in ("×", "÷", "é", "İ", "µ", "œ", "é è"))
+    encoder.split = encoder.normalize = None
+    assert encoder.encode("Ça où, naïve Straße'S ÑANDÚ!") == b"".join(
+        i.to_bytes(4, "little") for i in library.encode("Ça où, naïve Straße'S ÑANDÚ!", add_special_tokens=False).ids
+    )
