@@ -1,4 +1,4 @@
-"""Near copies by exact similarity: banded MinHash finds candidates, shingle sets decide.
+"""Near copies by exact similarity: SimHash and banded MinHash find candidates, shingle sets decide.
 
 Two texts are near copies if the sets of their five-word shingles (blanks
 separate words, ASCII letters in lower case) have a Jaccard similarity of at
@@ -6,6 +6,10 @@ least 0.8. Every distinct text gets 36 keys of six minima each; a pair at 0.8
 shares no key with probability 0.00002 and is compared if it shares one. Only
 pairs whose sets pass are linked, so groups are the components of true links.
 
+SimHash (`simhash`, over the same shingles) comes first: its groups are the components of
+fingerprints that differ in at most four bits, and every text is compared with the first one
+of its group. Four bits reach only the closest copies, so the keys find the others.
+
 Texts of one key are first compared with its most central text only, the one whose
 keys hold most texts: a group around it is linked in as many pairs as it has
 texts. What then is still in several groups is compared in full, so no candidate is dropped. Full
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm import oph
+from parley.llm import oph, simhash
 from parley.llm.components import components
 from parley.llm.shared import landed
 from parley.llm.simhash import chosen_rows
@@ -77,17 +81,18 @@ def band_keys(text: str | None, words: int = SHINGLE_WORDS) -> list[int]:
 
 
 def _sketches(text: Column, words: int) -> Column:
-    @F.arrow_udf("keys array<long>, bits array<long>, n int")
-    def minhash_bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("keys array<long>, bits array<long>, n int, fp long")
+    def simhash_and_minhash_bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [sketch(t.as_py(), words) for t in texts]
-            keys, bits, sizes = zip(*rows) if rows else ((), (), ())
+            rows = [(*sketch(t, words), simhash.fingerprint(t, words)) for t in (x.as_py() for x in texts)]
+            keys, bits, sizes, fps = zip(*rows) if rows else ((), (), (), ())
             longs = pa.list_(pa.int64())
             yield pa.StructArray.from_arrays(
-                [pa.array(keys, longs), pa.array(bits, longs), pa.array(sizes, pa.int32())], ["keys", "bits", "n"]
+                [pa.array(keys, longs), pa.array(bits, longs), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64())],
+                ["keys", "bits", "n", "fp"],
             )
 
-    return minhash_bands(text)
+    return simhash_and_minhash_bands(text)
 
 
 def _shingles(text: Column, words: int) -> Column:
@@ -151,15 +156,28 @@ def _led_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("unit", "leader").alias("a"), F.least("unit", "leader").alias("b")).distinct()
 
 
+def _simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of the first text of a SimHash group with the other texts of the group: as many as texts."""
+    roots = components(simhash.links(rows.select("fp").distinct()))
+    own = rows.select("unit", "fp").join(roots, F.col("fp") == F.col("node"), "left")
+    grouped = landed(own.select("unit", F.coalesce("root", "fp").alias("group")), "copies-simhash")
+    firsts = grouped.groupBy("group").agg(F.min("unit").alias("first"))
+    pairs = grouped.join(firsts, "group").where("unit <> first")
+    return landed(pairs.select(F.col("unit").alias("a"), F.col("first").alias("b")), "copies-simhash-pairs")
+
+
 def links(rows: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between the distinct texts of rows (`unit`, `keys`, `bits`, `n`); `sets_of` makes their shingle sets."""
+    """Links (a, b) between the distinct texts of rows (`unit`, `keys`, `bits`, `n`, `fp`); `sets_of` makes their shingle sets."""
+    closest = _simhash_pairs(rows)
     keyed = rows.select("unit", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = landed(keyed.join(shared, "key"), "copies-keys")
-    units = landed(members.select("unit").distinct(), "copies-units")
+    paired = closest.select(F.explode(F.array("a", "b")).alias("unit"))
+    units = landed(members.select("unit").union(paired).distinct(), "copies-units")
     facts = landed(rows.select("unit", "n", "bits").join(units, "unit", "left_semi"), "copies-facts")
     sets = landed(sets_of(units), "copies-sets")
-    near = _with_facts(_led_pairs(members), facts, "a", "b").where(_may_be_alike(similarity)).select("a", "b")
+    led = closest.union(_led_pairs(members)).distinct()
+    near = _with_facts(led, facts, "a", "b").where(_may_be_alike(similarity)).select("a", "b")
     found = landed(_alike(landed(near, "copies-pairs"), sets, similarity), "copies-links")
     members = landed(_with_roots(members, found), "copies-keys")
     # Each pair of one key and two groups: texts outside the key's largest group with all others.
@@ -189,15 +207,15 @@ def drop(
         docs.select(
             F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("unit"),
             _sketches(own, words).alias("s"),
-        ).select("id", "unit", "s.keys", "s.bits", "s.n"),
+        ).select("id", "unit", "s.keys", "s.bits", "s.n", "s.fp"),
         "copies",
     )
     # Copies collapse to the row with the smallest id.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("first")
     units = landed(
         rows.groupBy("unit")
-        .agg(first, F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n").alias("n"))
-        .select("unit", "first.id", "keys", "bits", "n"),
+        .agg(first, *[F.first(c).alias(c) for c in ("keys", "bits", "n", "fp")])
+        .select("unit", "first.id", "keys", "bits", "n", "fp"),
         "copies-texts",
     )
 

@@ -146,6 +146,23 @@ def test_large_groups_equal_brute_force_with_few_pairs(spark, monkeypatch, edits
     assert sum(read) < 12 * n
 
 
+def test_near_copies_take_groups_of_simhash(spark, monkeypatch):
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    base = [" ".join(draw.choices(words, k=300)) for _ in range(3)]
+    # One word less at the end: a fingerprint a few bits away at most, and still alike; the third text has no copy.
+    texts = [base[0], base[0] + " end", base[1], base[1].rsplit(" ", 1)[0], base[2]]
+    assert all((simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 1], 5)).bit_count() <= 4 for i in (0, 2))
+    # Without a key of MinHash the groups of SimHash are all there is; the sets still decide.
+    monkeypatch.setattr(near_copies, "_sketches", keyless(near_copies._sketches))
+    df = spark.createDataFrame(list(enumerate([*texts, "a b c d e", "", None])), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.drop(df).collect()} == {0, 2, 4, 5, 6}
+
+
+def keyless(sketches):
+    return lambda text, words: sketches(text, words).withField("keys", F.array().cast("array<long>"))
+
+
 def test_bitmaps_never_drop_a_link():
     rnd = random.Random(2)
     for size in (3, 40, 400, 4_000):
