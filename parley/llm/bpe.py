@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.llm.shared import handed_back
 from parley.llm.vocabulary import ChunkEncoder, check_supported, read_vocabulary, texts_of
 
 # Rows of a batch that leave Python at once.
@@ -112,7 +113,7 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def heap_bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in handed_back(batches):
             for ids in batched(encoder.encode_all(texts_of(batch)), ROWS_OUT):
                 yield pa.array(ids, pa.binary())
 
@@ -138,7 +139,7 @@ def round_trip(text: Column, path: str) -> Column:
     @F.arrow_udf("ids binary, decoded string")
     def heap_bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decoder = _encoder(path), _vocabulary(path)
-        for batch in batches:
+        for batch in handed_back(batches):
             for ids in batched(encoder.encode_all(texts_of(batch)), ROWS_OUT):
                 decoded = pa.array([decoder.decode(x) for x in ids], pa.string())
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])

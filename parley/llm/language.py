@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.descent import minimise
+from parley.llm.shared import handed_back
 
 UNKNOWN = "und"
 FEATURES = 4_096
@@ -292,7 +293,7 @@ def is_known(text: Column, model: LanguageModel, known: Known) -> Column:
 
     @F.arrow_udf("boolean")
     def in_known_language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in handed_back(batches):
             found = []
             for at in range(0, len(batch), 512):
                 found += [known.holds(letters(t), model.predict(t)[0]) for t in batch.slice(at, 512).to_pylist()]

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.descent import minimise
+from parley.llm.shared import handed_back
 
 PER_CLASS = 1_000
 SAMPLE_LINES = 200
@@ -328,7 +329,7 @@ def score(text: Column, model: LineModel) -> Column:
 
     @F.arrow_udf("double")
     def line_field_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in handed_back(batches):
             for at in range(0, len(batch), SLICE_ROWS):
                 yield pa.array([model.score(t) for t in batch.slice(at, SLICE_ROWS).to_pylist()], pa.float64())
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import oph, simhash
 from parley.llm.components import components
-from parley.llm.shared import landed
+from parley.llm.shared import handed_back, landed
 from parley.llm.simhash import chosen_rows
 
 SHINGLE_WORDS = 5
@@ -48,6 +48,8 @@ SEED = 7
 WORDS = 32
 # Shingles whose minima are taken at once.
 CHUNK = 2_048
+# Rows of a batch that are Python objects at once.
+SLICE_ROWS = 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,18 +82,24 @@ def band_keys(text: str | None, words: int = SHINGLE_WORDS) -> list[int]:
     return sketch(text, words)[0]
 
 
-def _sketches(text: Column, words: int) -> Column:
-    @F.arrow_udf("keys array<long>, bits array<long>, n int, fp long")
-    def simhash_and_minhash_bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            rows = [(*sketch(t, words), simhash.fingerprint(t, words)) for t in (x.as_py() for x in texts)]
-            keys, bits, sizes, fps = zip(*rows) if rows else ((), (), (), ())
-            longs = pa.list_(pa.int64())
+def sketched(batches: Iterator[pa.Array], words: int) -> Iterator[pa.Array]:
+    """Sketch and SimHash of every text, a slice of a batch at a time."""
+    longs = pa.list_(pa.int64())
+    for batch in handed_back(batches):
+        for at in range(0, len(batch), SLICE_ROWS):
+            texts = batch.slice(at, SLICE_ROWS).to_pylist()
+            keys, bits, sizes, fps = zip(*[(*sketch(t, words), simhash.fingerprint(t, words)) for t in texts])
             yield pa.StructArray.from_arrays(
                 [pa.array(keys, longs), pa.array(bits, longs), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64())],
                 ["keys", "bits", "n", "fp"],
             )
 
+
+def _sketches(text: Column, words: int) -> Column:
+    @F.arrow_udf("keys array<long>, bits array<long>, n int, fp long")
+    def simhash_and_minhash_bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from sketched(batches, words)
+
     return simhash_and_minhash_bands(text)
 
 

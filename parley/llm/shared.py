@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,24 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hand_back() -> None:
+    """Give the system what Arrow and malloc hold unused."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def handed_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The batches; after each, memory that is held unused goes back to the system.
+
+    A Python worker outlives its task and serves later stages too. What Arrow and
+    malloc keep for reuse (several times a batch) counts against the executor until the worker ends.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        hand_back()
+
+
 def id_slicer(df: DataFrame, key: str, rows: int):
     """A function that maps an id to its slice: slices follow the order of the ids.
 

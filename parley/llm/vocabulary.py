@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from parley.llm.shared import hand_back
+
 # Pieces of ASCII text, as the vocabulary file's own pattern finds them (fixed value).
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 # The same for texts of ASCII and the letters of Latin-1: those compose to themselves, and each has one small letter.
@@ -25,6 +27,8 @@ PIECE_BYTES, ENTRY_BYTES = 64_000_000, 180
 CACHED_CHARS = 64
 # Characters of text whose chunks are gathered at once: bounds memory, never changes ids.
 SLICE_CHARS = 16_000_000
+# Chunks whose ids are put together at once, one text's at least.
+GATHERED_CHUNKS = 262_144
 
 
 class Cache(dict):
@@ -137,22 +141,32 @@ class ChunkEncoder:
         if done >= 0:
             yield b"".join(open_parts)
 
-    def _gathered(self, parts: list[str]) -> list[bytes]:
+    def _gathered(self, parts: list[str]) -> Iterator[bytes]:
         """Ids of each part: its chunks as numbers into the distinct ones, whose ids are put end to end."""
         plain = pc.replace_substring(pa.array(parts, pa.large_string()), "\n", " ")
+        hand_back()
         split = pc.split_pattern(plain, " ")
-        coded = split.values.dictionary_encode()
-        encoded = [self.encode_chunk(chunk) for chunk in coded.dictionary.to_pylist()]
+        del plain
+        coded, offsets = split.values.dictionary_encode(), split.offsets.to_numpy()
+        del split
+        hand_back()
+        encoded = [self.encode_chunk(chunk) for chunk in texts_of(coded.dictionary)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // self.id_type.itemsize
-        ids = np.frombuffer(b"".join(encoded), self.id_type)
-        chunk = coded.indices.to_numpy()
-        counts = sizes[chunk]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        # The id at place t of chunk c lies at (first id of its distinct chunk) + t.
-        at = np.repeat((np.cumsum(sizes) - sizes)[chunk] - ends[:-1], counts)
-        at += np.arange(ends[-1])
-        out, bounds = ids[at], ends[split.offsets.to_numpy()]
-        return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids, firsts = np.frombuffer(b"".join(encoded), self.id_type), np.cumsum(sizes) - sizes
+        chunks = coded.indices.to_numpy()
+        del coded, encoded
+        low = 0
+        while low < len(parts):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GATHERED_CHUNKS, "right")) - 1)
+            chunk = chunks[offsets[low] : offsets[high]]
+            counts = sizes[chunk]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            # The id at place t of chunk c lies at (first id of its distinct chunk) + t.
+            at = np.repeat(firsts[chunk] - ends[:-1], counts)
+            at += np.arange(ends[-1])
+            out, bounds = ids[at], ends[offsets[low : high + 1] - offsets[low]]
+            yield from [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            low = high
 
 
 def _parts(texts: Iterable[str | None], most: int) -> Iterator[tuple[int, str]]:
