@@ -12,20 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import landed
+from parley.llm.shared import landed, sorted_side
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smallest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
     smallest = landed(smallest, "large-star")
-    return both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return sorted_side(both.where("b > a")).join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     smallest = landed(down.groupBy("a").agg(F.min("b").alias("m")), "small-star")
-    moved = down.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = sorted_side(down).join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(smallest.select("a", F.col("m").alias("b")))
 
 

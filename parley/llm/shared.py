@@ -25,6 +25,15 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: the join sorts, and neither side is broadcast.
+
+    Spark sizes a table by its compressed files and counts the rows of an `explode`
+    as one, so a side of a GB may pass for one below the broadcast limit.
+    """
+    return df.hint("merge")
+
+
 def hand_back() -> None:
     """Give the system what Arrow and malloc hold unused."""
     pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.shared import landed
+from parley.llm.shared import landed, sorted_side
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -111,7 +111,7 @@ def _pairs(members: DataFrame, distance: int) -> DataFrame:
         ((F.lit(i) <= F.col("last")) & (differs.bitwiseAND(F.lit(mask)) == 0)).cast("int")
         for i, mask in enumerate(block_masks())
     )
-    return rows.join(
+    return sorted_side(rows).join(
         other,
         (rows["combo"] == other["combo"])
         & (rows["bits"] == other["bits"])
@@ -133,7 +133,7 @@ def _midpoint_links(fps: DataFrame, distance: int) -> DataFrame:
         "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle")
     )
     smallest = landed(spread.groupBy("middle").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "midpoints")
-    return spread.join(smallest, "middle").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return sorted_side(spread).join(smallest, "middle").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
@@ -146,7 +146,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataF
         raise ValueError(f"the distance must be even and below {BLOCKS}")
     keyed = _keyed(fps, distance)
     shared = keyed.groupBy("combo", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    members = landed(keyed.join(shared, ["combo", "bits"]), "simhash-keys")
+    members = landed(sorted_side(keyed).join(shared, ["combo", "bits"]), "simhash-keys")
     crowd = members.where(F.col("n") > dense).select("fp").distinct()
     return _pairs(members.where(F.col("n") <= dense), distance).union(_midpoint_links(crowd, distance))
 
@@ -156,13 +156,13 @@ def _components(rows: DataFrame, distance: int, dense: int) -> DataFrame:
     firsts = landed(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
     roots = components(links(firsts.select("fp"), distance, dense))
     rooted = landed(
-        firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
+        sorted_side(firsts).join(roots, firsts["fp"] == roots["node"], "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root")
         ),
         "simhash-roots",
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return landed(rooted.join(smallest, "root").select("fp", "root", "component"), "simhash-components")
+    return landed(sorted_side(rooted).join(smallest, "root").select("fp", "root", "component"), "simhash-components")
 
 
 def groups(
@@ -178,7 +178,7 @@ def groups(
         "simhash",
     )
     named = _components(rows, distance, dense).drop("root")
-    return rows.join(named, "fp").select(
+    return sorted_side(rows).join(named, "fp").select(
         F.nullif("id", F.lit(NO_ID)).alias(key), "fp", F.nullif("component", F.lit(NO_ID)).alias("component_id")
     )
 
@@ -197,7 +197,7 @@ def chosen_rows(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text
     )
     named = wanted.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "unit")
     at = ["id", "none", "unit"]
-    return rows.join(named, at, "left_semi").dropDuplicates(at).select("row.*")
+    return sorted_side(rows).join(named, at, "left_semi").dropDuplicates(at).select("row.*")
 
 
 def keep_first(
@@ -219,7 +219,7 @@ def keep_first(
     )
     smallest = F.min(F.struct("id", "none", "unit")).alias("s")
     firsts = landed(rows.groupBy("fp").agg(smallest), "simhash-smallest")
-    rooted = firsts.join(_components(rows, distance, dense), "fp")
+    rooted = sorted_side(firsts).join(_components(rows, distance, dense), "fp")
     kept = rooted.groupBy("root").agg(F.min("s").alias("s")).select(
         F.when(~F.col("s.none"), F.col("s.id")).alias("id"), "s.unit"
     )

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import xxhash
 from plain import near_roots, shingle_set, words
 from pyspark.sql import functions as F
 
-from parley.llm import near_copies, oph, queries, simhash, topk
+from parley.llm import near_copies, oph, queries, shared, simhash, topk
 from parley.llm.components import components
 
 
@@ -270,3 +271,21 @@ def test_products_are_exact_beyond_floats():
     a, b = rng.integers(-(1 << 40), 1 << 40, (3, 5)), rng.integers(-(1 << 20), 1 << 20, (4, 5))
     want = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
     assert topk.exact_scores(a, b).tolist() == np.clip(np.array(want, object), -topk._LONG, topk._LONG).tolist()
+
+
+@pytest.mark.parametrize("operator", [simhash.groups, simhash.keep_first])
+def test_no_side_that_grows_with_the_documents_is_broadcast(spark, monkeypatch, operator):
+    # Small files: Spark takes every side of these joins, exploded keys included, for one to broadcast.
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(60)) + f" end{i % 13}") for i in range(120)]
+    docs = shared.landed(spark.createDataFrame(rows, "doc_id long, text string"), "no-broadcast")
+    plans = []
+
+    def planned(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return shared.landed(df, name)
+
+    for module in (simhash, near_copies, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "landed", planned)
+    plans.append(("result", operator(docs)._jdf.queryExecution().executedPlan().toString()))
+    assert sum("SortMergeJoin" in text for _, text in plans) >= 5
+    assert [name for name, text in plans if "Broadcast" in text] == []
