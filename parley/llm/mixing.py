@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.oph import let, words
-from parley.llm.shared import landed
+from parley.llm.shared import landed, sorted_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -205,7 +205,7 @@ def taken_words(plan: Mix) -> DataFrame:
     """Per document: id, source, size, source_size, target, and the words taken, repeats counted."""
     takes = plan.slots.groupBy("source", "block").agg(F.count("*").alias("takes"))
     same = _same_source(plan.pieces, takes) & (plan.pieces["block"] == takes["block"])
-    found = plan.pieces.join(takes, same, "left").select(
+    found = sorted_side(plan.pieces).join(takes, same, "left").select(
         plan.pieces["id"], plan.pieces["source"], "size", "text_hash", "start",
         (F.col("n_words") * F.coalesce("takes", F.lit(0))).alias("words"),
     )
@@ -228,7 +228,7 @@ def mixed_texts(
     that share id, source and text, which count as one, any one's other columns are kept.
     """
     same = _same_source(plan.pieces, plan.slots) & (plan.pieces["block"] == plan.slots["block"])
-    parts = plan.pieces.join(plan.slots, same).select(
+    parts = sorted_side(plan.pieces).join(plan.slots, same).select(
         plan.pieces["id"], plan.pieces["source"], "size", "text_hash", "start", "epoch", "first", "n_words"
     )
     # No more parts in a group than a text has blocks.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import oph, simhash
 from parley.llm.components import components
-from parley.llm.shared import handed_back, landed
+from parley.llm.shared import handed_back, landed, sorted_side
 from parley.llm.simhash import chosen_rows
 
 SHINGLE_WORDS = 5
@@ -122,7 +122,7 @@ def _may_be_alike(similarity: float, a: str = "a", b: str = "b") -> Column:
 def _with_facts(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
     for name in names:
         own = facts.select(F.col("unit").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-        pairs = pairs.join(own, name)
+        pairs = pairs.join(sorted_side(own), name)
     return pairs
 
 
@@ -133,13 +133,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     common = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - common
     passes = (either == 0) | (common / either >= similarity)
-    return pairs.join(one, "a").join(two, "b").where(passes).select("a", "b")
+    return pairs.join(sorted_side(one), "a").join(sorted_side(two), "b").where(passes).select("a", "b")
 
 
 def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members (band key, unit) with the root of their unit under the links."""
     roots = components(links).withColumnRenamed("node", "unit")
-    return members.join(roots, "unit", "left").select("key", "unit", F.coalesce("root", "unit").alias("root"))
+    return sorted_side(members).join(roots, "unit", "left").select("key", "unit", F.coalesce("root", "unit").alias("root"))
 
 
 def _open_keys(members: DataFrame) -> DataFrame:
@@ -154,23 +154,23 @@ def _open_keys(members: DataFrame) -> DataFrame:
 def _led_pairs(members: DataFrame) -> DataFrame:
     """Pairs of a key's most central text with the other texts of its key."""
     per_key = members.groupBy("key").agg(F.count("*").alias("n"))
-    crowd = landed(members.join(per_key, "key"), "copies-crowd")
+    crowd = landed(sorted_side(members).join(per_key, "key"), "copies-crowd")
     scores = crowd.groupBy("unit").agg(F.sum("n").alias("score"))
     leaders = landed(
-        crowd.join(scores, "unit").groupBy("key").agg(F.max_by("unit", F.struct("score", "unit")).alias("leader")),
+        sorted_side(crowd).join(scores, "unit").groupBy("key").agg(F.max_by("unit", F.struct("score", "unit")).alias("leader")),
         "copies-leaders",
     )
-    pairs = crowd.join(leaders, "key").where("unit <> leader")
+    pairs = sorted_side(crowd).join(leaders, "key").where("unit <> leader")
     return pairs.select(F.greatest("unit", "leader").alias("a"), F.least("unit", "leader").alias("b")).distinct()
 
 
 def _simhash_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of the first text of a SimHash group with the other texts of the group: as many as texts."""
     roots = components(simhash.links(rows.select("fp").distinct()))
-    own = rows.select("unit", "fp").join(roots, F.col("fp") == F.col("node"), "left")
+    own = sorted_side(rows.select("unit", "fp")).join(roots, F.col("fp") == F.col("node"), "left")
     grouped = landed(own.select("unit", F.coalesce("root", "fp").alias("group")), "copies-simhash")
     firsts = grouped.groupBy("group").agg(F.min("unit").alias("first"))
-    pairs = grouped.join(firsts, "group").where("unit <> first")
+    pairs = sorted_side(grouped).join(firsts, "group").where("unit <> first")
     return landed(pairs.select(F.col("unit").alias("a"), F.col("first").alias("b")), "copies-simhash-pairs")
 
 
@@ -179,10 +179,10 @@ def links(rows: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame
     closest = _simhash_pairs(rows)
     keyed = rows.select("unit", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = landed(keyed.join(shared, "key"), "copies-keys")
+    members = landed(sorted_side(keyed).join(shared, "key"), "copies-keys")
     paired = closest.select(F.explode(F.array("a", "b")).alias("unit"))
     units = landed(members.select("unit").union(paired).distinct(), "copies-units")
-    facts = landed(rows.select("unit", "n", "bits").join(units, "unit", "left_semi"), "copies-facts")
+    facts = landed(sorted_side(rows.select("unit", "n", "bits")).join(units, "unit", "left_semi"), "copies-facts")
     sets = landed(sets_of(units), "copies-sets")
     led = closest.union(_led_pairs(members)).distinct()
     near = _with_facts(led, facts, "a", "b").where(_may_be_alike(similarity)).select("a", "b")
@@ -190,7 +190,7 @@ def links(rows: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame
     members = landed(_with_roots(members, found), "copies-keys")
     # Each pair of one key and two groups: texts outside the key's largest group with all others.
     tables = landed(_open_keys(members).select("key", "most"), "copies-open")
-    live = landed(members.join(tables, "key").join(facts, "unit"), "copies-live")
+    live = landed(sorted_side(members).join(tables, "key").join(sorted_side(facts), "unit"), "copies-live")
     one = live.where("root <> most").select(
         "key", F.col("unit").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")
     )
@@ -200,7 +200,7 @@ def links(rows: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame
     ).withColumnRenamed("key", "of_key")
     met = F.col("key") == F.col("of_key")
     apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("a") > F.col("b")))
-    pairs = one.join(two, met & apart & _may_be_alike(similarity))
+    pairs = sorted_side(one).join(two, met & apart & _may_be_alike(similarity))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return found.union(_alike(landed(pairs, "copies-pairs"), sets, similarity))
 
@@ -228,14 +228,14 @@ def drop(
     )
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        named = units.join(wanted, "unit", "left_semi").select("id", "unit")
+        named = sorted_side(units).join(wanted, "unit", "left_semi").select("id", "unit")
         texts = chosen_rows(docs, landed(named, "copies-named"), key=key, text=text)
         return texts.select(
             F.xxhash64(F.coalesce(own, F.lit(""))).alias("unit"), _shingles(own, words).alias("set")
         )
 
     roots = landed(components(links(units, sets_of, similarity)), "copies-roots")
-    rooted = units.join(roots, units["unit"] == roots["node"], "left").select(
+    rooted = sorted_side(units).join(roots, units["unit"] == roots["node"], "left").select(
         "id", "unit", F.coalesce("root", "unit").alias("root")
     )
     smallest = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("unit").alias("unit")))

@@ -11,7 +11,7 @@ import xxhash
 from plain import near_roots, shingle_set, words
 from pyspark.sql import functions as F
 
-from parley.llm import near_copies, oph, queries, shared, simhash, topk
+from parley.llm import mixing, near_copies, oph, queries, shared, simhash, topk
 from parley.llm.components import components
 
 
@@ -273,7 +273,7 @@ def test_products_are_exact_beyond_floats():
     assert topk.exact_scores(a, b).tolist() == np.clip(np.array(want, object), -topk._LONG, topk._LONG).tolist()
 
 
-@pytest.mark.parametrize("operator", [simhash.groups, simhash.keep_first])
+@pytest.mark.parametrize("operator", [simhash.groups, simhash.keep_first, near_copies.drop])
 def test_no_side_that_grows_with_the_documents_is_broadcast(spark, monkeypatch, operator):
     # Small files: Spark takes every side of these joins, exploded keys included, for one to broadcast.
     rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(60)) + f" end{i % 13}") for i in range(120)]
@@ -289,3 +289,13 @@ def test_no_side_that_grows_with_the_documents_is_broadcast(spark, monkeypatch,
     plans.append(("result", operator(docs)._jdf.queryExecution().executedPlan().toString()))
     assert sum("SortMergeJoin" in text for _, text in plans) >= 5
     assert [name for name, text in plans if "Broadcast" in text] == []
+
+
+def test_blocks_of_the_mixture_are_not_broadcast(spark):
+    rows = [(i, "ab"[i % 2], "w " * (i % 300)) for i in range(60)]
+    docs = shared.landed(spark.createDataFrame(rows, "doc_id long, source string, text string"), "no-broadcast")
+    plan = mixing.mix(docs)
+    for df in (mixing.taken_words(plan), mixing.mixed_texts(docs, plan)):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        # The innermost join is that of the blocks; the list of the sources is small.
+        assert "SortMergeJoin" in joins[-1]
