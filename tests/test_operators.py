@@ -497,6 +497,34 @@ def test_phrases_move_once(spark, monkeypatch):
     assert len([line for line in moved if "REPARTITION_BY_NUM" in line]) == 3
 
 
+def test_texts_of_a_deal_share_their_cells(spark, monkeypatch):
+    draw, words = random.Random(3), [a + b + "q" for a in "bcdfg" for b in "klmnp"]
+    texts = [(i, "ab"[i % 2], " ".join(draw.choices(words, k=40))) for i in range(1500)]
+    table = spark.createDataFrame(texts, "doc long, dataset string, text string")
+    monkeypatch.setattr(P, "BUCKET_CHARS", sum(len(t) for _, _, t in texts) // 12)
+    seen, bucketed = [], P._bucketed
+
+    def spied(terms, doc, dataset, buckets):
+        seen.append((buckets, bucketed(terms, doc, dataset, buckets)))
+        return seen[0][1]
+
+    monkeypatch.setattr(P, "_bucketed", spied)
+    assert tfidf(table, "doc").select("doc").distinct().count() == 1500
+    buckets, cells = seen[0]
+    assert 12 <= buckets <= 13
+    # A row per text and bucket would be 1500 * 12 of them.
+    assert cells.count() <= 2 * buckets * buckets * P.DEALS
+
+
+def test_ids_of_any_characters_keep_their_phrases(spark):
+    ids = ["a\tb", "a\nb", "a\x1ab", "a\x1aab", "a\x1abb", "\x1ac", "", " ", "=", "\t", "\n\n", "\x1a", None]
+    texts = [(i, "d\n\t", f"alpha beta alpha beta omega{'bcdfghjklmnpq'[at]}x") for at, i in enumerate(ids)]
+    table = spark.createDataFrame(texts, "doc string, dataset string, text string")
+    got = [tuple(r) for r in tfidf(table, "doc").select("doc", "dataset", "phrase").collect()]
+    phrases = ["alpha beta", "beta alpha", "alpha beta alpha", "beta alpha beta"]
+    assert sorted(got, key=repr) == sorted([(i, "d\n\t", p) for i in ids for p in phrases], key=repr)
+
+
 def test_bootstrap_interval_covers_the_mean(spark):
     rows = spark.range(400).select(
         F.lit("d").alias("dataset"), F.col("id").cast("string").alias("conv_id"),
