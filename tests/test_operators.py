@@ -516,6 +516,24 @@ def test_texts_of_a_deal_share_their_cells(spark, monkeypatch):
     assert cells.count() <= 2 * buckets * buckets * P.DEALS
 
 
+def test_a_triple_stands_for_its_pair(spark):
+    draw, words = random.Random(4), [a + b + "q" for a in "bcd" for b in "kl"]
+    # Pairs at the end, in several triples, in one triple twice; texts of two words.
+    texts = [(i, "d", " ".join(draw.choices(words, k=draw.randrange(2, 14)))) for i in range(60)]
+    table = spark.createDataFrame(texts, "doc long, dataset string, text string")
+    found = [Counter(" ".join(t.split()[i : i + n]) for n in (2, 3) for i in range(len(t.split()) - n + 1)) for _, _, t in texts]
+    df = Counter(p for one in found for p in one)
+    want = {}
+    for doc, one in enumerate(found):
+        w = {p: n * (math.log(61 / (1 + df[p])) + 1) for p, n in one.items() if df[p] > 1}
+        want |= {(doc, p): x / math.sqrt(sum(y * y for y in w.values())) for p, x in w.items()}
+    got = tfidf(table, "doc").collect()
+    assert len(got) == len(want)
+    assert {(r["doc"], r["phrase"]): r["tfidf"] for r in got} == pytest.approx(want)
+    rows = document_phrases(table, "doc", deal=F.lit(0)).collect()
+    assert len(rows) + sum(r["pair"] for r in rows) == sum(map(len, found)) and len(rows) < 0.75 * sum(map(len, found))
+
+
 def test_ids_of_any_characters_keep_their_phrases(spark):
     ids = ["a\tb", "a\nb", "a\x1ab", "a\x1aab", "a\x1abb", "\x1ac", "", " ", "=", "\t", "\n\n", "\x1a", None]
     texts = [(i, "d\n\t", f"alpha beta alpha beta omega{'bcdfghjklmnpq'[at]}x") for at, i in enumerate(ids)]
